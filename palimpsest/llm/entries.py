@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import byte_bpe, exact_dedup, piece_count, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op4_bpe": byte_bpe.op4_bpe,
+        "op6_token_counts": piece_count.op6_token_counts,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_hilbert_sharding": sharding.op8_hilbert_sharding,
     }
