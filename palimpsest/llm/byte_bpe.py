@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,8 +199,6 @@ def bpe_decode(rows: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
 
 
 def _udf(kind: str, name: str, leaf: int, f):
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = ByteBpe(tokenizer_file(name), leaf)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, piece_count, sharding, toxicity
+from . import byte_bpe, exact_dedup, language_id, mixing, piece_count, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op10_language_id": language_id.op10_language_id,
+        "op3_mixing": mixing.op3_mixing,
         "op4_bpe": byte_bpe.op4_bpe,
         "op6_token_counts": piece_count.op6_token_counts,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
