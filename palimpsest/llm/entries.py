@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, mixing, piece_count, sharding, toxicity
+from . import byte_bpe, exact_dedup, language_id, minhash, mixing, piece_count, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op10_language_id": language_id.op10_language_id,
         "op3_mixing": mixing.op3_mixing,
         "op4_bpe": byte_bpe.op4_bpe,
+        "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op6_token_counts": piece_count.op6_token_counts,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_hilbert_sharding": sharding.op8_hilbert_sharding,
