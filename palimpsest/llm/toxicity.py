@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, written
 
 #: Characters that look like Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("авеѕіјкмнорстухԁӏɡαβεικνορτυχωøłđıſ", "abesijkmhopctyxdlgabeikvoptuxwoldis", strict=True))
@@ -138,15 +138,16 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pref
     """
     spark = docs.sparkSession
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").filter("text is not null").join(labels, "doc_id")
     counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = {y: min(1.0, sample / 2 / max(1, n)) for y, n in counts.items()}
     seed = Lexicon({f" {w} ": x for w, x in SEED.items()})
     if set(counts) != {0, 1}:
         return seed
-    hashed = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("h")
-    chosen = known.withColumn("h", hashed).filter(F.when(F.col("toxic") == 1, F.col("h") < share[1]).otherwise(F.col("h") < share[0]))
-    chosen = chosen.withColumn("same", F.xxhash64("text")).groupBy("same", "toxic").agg(F.first("text").alias("text"))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    picked = labels.filter(hashed < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    # `sample` bounds the picked labels, so they are broadcast and only the picked texts move.
+    chosen = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+    chosen = written(chosen.withColumn("same", F.xxhash64("text")).groupBy("same", "toxic").agg(F.first("text").alias("text")))
 
     def count(rows: DataFrame, among: frozenset | None) -> dict[str, tuple[int, int]]:
         wanted = spark.sparkContext.broadcast(among)  # at most most_terms strings
