@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, minhash, mixing, piece_count, sharding, toxicity
+from . import byte_bpe, embeddings, exact_dedup, language_id, minhash, mixing, piece_count, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op10_language_id": language_id.op10_language_id,
+        "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_bpe": byte_bpe.op4_bpe,
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
