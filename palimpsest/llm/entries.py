@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embeddings, exact_dedup, language_id, minhash, mixing, piece_count, sharding, toxicity
+from . import byte_bpe, embeddings, exact_dedup, language_id, minhash, mixing, piece_count, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op6_token_counts": piece_count.op6_token_counts,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_hilbert_sharding": sharding.op8_hilbert_sharding,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 

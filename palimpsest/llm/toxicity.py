@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,6 +205,17 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pref
     return lexicon
 
 
+def score_udf(lexicon: Lexicon):
+    """The score of a text column, as a pandas UDF."""
+    plain = Lexicon(lexicon.terms, lexicon.exceptions, lexicon.middle, lexicon.steep)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([plain.score(plain.density(t)) for t in text], dtype="float64")
+
+    return score
+
+
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs(doc_id, text, ...): the whole text's score from 0 to 1.
 
