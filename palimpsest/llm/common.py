@@ -108,10 +108,35 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str) -> Data
     return local.join(F.broadcast(table), on).select(*df.columns, (F.col("_local") + F.col("_before")).alias("start"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a task as stars (node, smallest node it reaches here), `most` nodes at a time."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in parent if (r := root(x)) != x]
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > most:
+            yield stars()
+            parent.clear()
+    if parent:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of edges (a, b), the smallest node that its links reach.
 
-    Alternates the large-star and small-star steps on tables until no edge changes; the number of
+    Each task first turns its own edges into stars. Then alternates the large-star and small-star steps on tables until no edge changes; the number of
     rounds grows with the logarithm of the longest path. Nothing but a count reaches the driver.
     """
 
@@ -129,7 +154,8 @@ def components(edges: DataFrame) -> DataFrame:
             new = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
         return written(new.filter("a <> b").distinct())
 
-    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = edges.filter("a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    e = written(e.mapInArrow(_forest, "a bigint, b bigint").distinct())
     if e.isEmpty():
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 

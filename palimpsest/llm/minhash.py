@@ -166,7 +166,7 @@ def _signatures(words: int, size: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array(full), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                        _lists(np.repeat(np.arange(k), size), (sign & _U(0xFFFF)).astype(np.int32).ravel(), k, pa.int32()),
+                        _lists(np.repeat(np.arange(k), size), (sign & _U(0x7FFF)).astype(np.int16).ravel(), k, pa.int16()),
                         _lists(np.repeat(np.arange(k), m), bands.view(np.int64).ravel(), k, pa.int64()),
                     ],
                     names=["doc_id", "full", "d0", "d1", "sign", "bands"],
@@ -175,17 +175,6 @@ def _signatures(words: int, size: int, rows: int):
     return run
 
 
-def _union(parent: dict, a: int, b: int) -> bool:
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent.setdefault(parent[x], parent[x])
-        return x
-
-    a, b = root(a), root(b)
-    parent[max(a, b)] = min(a, b)
-    return a != b
-
-
 def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = 64, rows: int = 4, block: int = 256) -> DataFrame:
     """(doc_id, component_id, group_size, kept) for every row of docs(doc_id, text, ...).
 
@@ -196,14 +185,15 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
 
     1. One pass makes BagMinHash signatures of `size` components and size / rows band keys.
     2. Each band's bucket has a leader, its smallest class; all others are compared with it, on their full multisets.
-    3. Links give components. Buckets that still hold several components go on to blocks of `block` rows, and each two
-       blocks to a task that compares rows of different components whose signatures agree in half their components; there it stops
-       once they are connected. So every pair that shares a bucket is linked, connected already, or compared.
+    3. Links give components. Buckets that still hold several components are cut into blocks of `block` rows, and each two blocks
+       meet in a task: first with signatures alone, to find the rows that agree with one of another component in 0.6 of them, then
+       those rows with their multisets, which are compared unless they are connected by then. So every pair that shares a bucket is
+       linked, connected already, or compared (a pair of similarity 0.8 has too few equal components with probability 0.0001).
     Hot leaders and buckets are spread over tasks; no task gathers a bucket.
     A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^4)^16, about 0.0002.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, full boolean, d0 bigint, d1 bigint, sign array<int>, bands array<bigint>"
+    schema = "doc_id bigint, full boolean, d0 bigint, d1 bigint, sign array<smallint>, bands array<bigint>"
     signed = written(docs.mapInArrow(_signatures(words, size, rows), schema))
     classes = written(signed.filter("full").groupBy("d0", "d1").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sign").alias("sign"), F.first("bands").alias("bands")))
     # Buckets with two classes or more.
@@ -243,48 +233,69 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     mixed = written(mixed)
     n_mixed = mixed.agg(F.sum("n")).first()[0] or 0
     rest = hot_safe_join(named, mixed, ["key"], "n", n_mixed).filter("n is not null")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rest = rest.select("key", "class_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("own"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class_id", "component")
-    full = bags.join(classes.select("class_id", "sign"), bags.doc_id == F.col("class_id")).drop("class_id")
-    rest = rest.join(full, rest.class_id == full.doc_id).drop("doc_id")
-    half = size // 2
+    rest = written(rest)
+    signs = classes.select(F.col("class_id").alias("_id"), "sign")
+    likely = round(0.6 * size)
+
+    def blocked(rows_: DataFrame) -> DataFrame:
+        """rows_ with n, the rows of their key: each block of a key meets each other in a group (key, p, q)."""
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        out = rows_.select("key", "class_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("own"))
+        out = out.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        return out.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class_id", "component")
+
+    def candidates(key: tuple, rows_: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of one block, the rows of the other (or later ones) in another component with a signature that is likely enough."""
+        p, q = key[1], key[2]
+        comp, own, sign = rows_["component"].to_numpy(), rows_["own"].to_numpy(), np.stack(rows_["sign"].to_numpy())
+        place = np.arange(len(rows_))
+        for i in np.flatnonzero(own == p):
+            at = np.flatnonzero((comp != comp[i]) & ((own == q) if p != q else (place > i)))
+            at = at[(sign[at] == sign[i]).sum(axis=1) >= likely]
+            if len(at):
+                yield i, at
+
+    def flag(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
+        found_ = np.zeros(len(rows_), bool)
+        for i, at in candidates(key, rows_):
+            found_[i] = True
+            found_[at] = True
+        return rows_.loc[found_, ["key", "class_id", "component"]]
+
+    flagged = blocked(rest).join(signs, F.col("class_id") == F.col("_id")).drop("_id")
+    flagged = flagged.groupBy("key", "p", "q").applyInPandas(flag, "key bigint, class_id bigint, component bigint")
+    flagged = written(flagged.distinct())
+    counted = written(flagged.groupBy("key").agg(F.count("*").alias("n")))
+    flagged = hot_safe_join(flagged, counted, ["key"], "n", counted.agg(F.sum("n")).first()[0] or 0)
+    full = bags.join(signs, F.col("doc_id") == F.col("_id")).select("_id", "bag", F.col("n").alias("counts"), "sign")
+    rest = blocked(flagged).join(full, F.col("class_id") == F.col("_id")).drop("_id")
 
     def compare(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
-        p, q = key[1], key[2]
-        rows_ = rows_.sort_values("class_id")
-        ids, comp = rows_["class_id"].to_numpy(), rows_["component"].to_numpy()
-        sign = np.stack(rows_["sign"].to_numpy())
-        own = rows_["own"].to_numpy()
-        bag, n = rows_["bag"].to_numpy(), rows_["n"].to_numpy()
+        rows_ = rows_.sort_values("class_id").reset_index(drop=True)
+        comp, bag, n = rows_["component"].to_numpy(), rows_["bag"].to_numpy(), rows_["counts"].to_numpy()
         parent: dict = {}
         out = []
-        for i in range(len(ids)):
-            if p != q and own[i] != p:
-                continue
-            near = (sign == sign[i]).sum(axis=1) >= half
-            near &= (comp != comp[i]) & ((own == q) if p != q else (np.arange(len(ids)) > i))
-            for j in np.flatnonzero(near):
-                _union(parent, int(comp[i]), int(comp[i]))
-                a, b = int(comp[i]), int(comp[j])
-                if _same(parent, a, b):
-                    continue
-                if weighted_jaccard(bag[i], n[i], bag[j], n[j]) >= least:
-                    _union(parent, a, b)
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    def _same(parent: dict, a: int, b: int) -> bool:
-        while parent.get(a, a) != a:
-            a = parent[a]
-        while parent.get(b, b) != b:
-            b = parent[b]
-        return a == b
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for i, at in candidates(key, rows_):
+            for j in at:
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a != b and weighted_jaccard(bag[i], n[i], bag[j], n[j]) >= least:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(comp[i]), int(comp[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     more = written(rest.groupBy("key", "p", "q").applyInPandas(compare, "a bigint, b bigint"))
-    if not more.isEmpty():
-        found = written(components(links.union(more)))
+    # The new links are between components: theirs are found apart, and the two steps composed.
+    steps = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    steps = written(steps.join(found.groupBy("component").agg(F.count("*").alias("n")), "component", "left").fillna(1, ["n"]))
+    moved = hot_safe_join(found, steps, ["component"], "n", found.count())
+    heads = steps.select(F.col("component").alias("node"), F.col("joined").alias("component")).join(found.select("node"), "node", "left_anti")
+    found = moved.select("node", F.coalesce("joined", "component").alias("component")).union(heads.select("node", "component"))
     by_class = classes.select("d0", "d1", "class_id", "copies").join(found, F.col("class_id") == found.node, "left")
     by_class = written(by_class.select("d0", "d1", "copies", F.coalesce("component", "class_id").alias("component_id")))
     sizes = written(by_class.groupBy("component_id").agg(F.sum("copies").alias("group_size"), F.count("*").alias("n_classes")))
