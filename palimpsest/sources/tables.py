@@ -64,11 +64,11 @@ class ParquetStore:
             stream.close()
         return sorted(out, key=lambda c: c["revision"])
 
-    def append(self, world: str, revision: int, as_of: str, rows: DataFrame) -> None:
-        """Books rows as `revision`, if no one else has."""
+    def append(self, world: str, revision: int, as_of: str, rows: DataFrame, tag: str | None = None) -> None:
+        """Books rows as `revision`, if no one else has. `tag` names the booking, for those that may be tried again."""
         folder = f"log/{world}/{revision:010d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
-        text = json.dumps({"revision": revision, "as_of": as_of, "folder": folder}).encode()
+        text = json.dumps({"revision": revision, "as_of": as_of, "folder": folder, "tag": tag}).encode()
         try:
             out = self.fs.create(self._p("commits", world, f"{revision:010d}.json"), False)
         except Exception as taken:
@@ -91,16 +91,16 @@ class MemoryStore:
         self.spark, self.booked = spark, {}
 
     def commits(self, world: str) -> list[dict]:
-        return [{"revision": r, "as_of": a} for r, a, _ in self.booked.get(world, [])]
+        return [{"revision": r, "as_of": a, "tag": t} for r, a, _, t in self.booked.get(world, [])]
 
-    def append(self, world: str, revision: int, as_of: str, rows: DataFrame) -> None:
+    def append(self, world: str, revision: int, as_of: str, rows: DataFrame, tag: str | None = None) -> None:
         mine = self.booked.setdefault(world, [])
         if len(mine) and mine[-1][0] >= revision:
             raise ConcurrentRevision(f"revision {revision} of {world} exists")
-        mine.append((revision, as_of, [tuple(r) for r in rows.collect()]))
+        mine.append((revision, as_of, [tuple(r) for r in rows.collect()], tag))
 
     def log(self, world: str, before: int | None = None) -> DataFrame:
-        rows = [x for r, _, booked in self.booked.get(world, []) if before is None or r < before for x in booked]
+        rows = [x for r, _, booked, _ in self.booked.get(world, []) if before is None or r < before for x in booked]
         return self.spark.createDataFrame(rows, EVENT_LOG)
 
 
