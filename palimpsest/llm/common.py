@@ -46,7 +46,8 @@ def hot_safe_join(left: DataFrame, right: DataFrame, keys: list[str], size: str,
     """left LEFT JOIN right, right having one row per key and the key's number of left rows in `size`.
 
     Keys that hold total/HOT rows or more are at most HOT, so they are broadcast: their rows do not move.
-    All other keys meet in a shuffle, in which rows of hot keys are spread by a key that matches nothing.
+    All other keys meet in a shuffle, in which rows of hot keys are spread by a hash of the row that matches nothing
+    (a hash, not a random number: a task that runs again deals its rows out as before).
     `right` should be a written table (it is read twice). Key columns of both sides have the same names and types.
     """
     values = [c for c in right.columns if c not in keys]
@@ -56,8 +57,8 @@ def hot_safe_join(left: DataFrame, right: DataFrame, keys: list[str], size: str,
     hot = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*values).alias("_hot"))
     on = [left[k] == hot[f"_h_{k}"] for k in keys]
     first = left.join(F.broadcast(hot), on, "left").drop(*[f"_h_{k}" for k in keys])
-    first = first.withColumn("_spread", F.when(F.col("_hot").isNotNull(), F.rand(7)).otherwise(F.lit(0.0)))
-    cold = cold.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.lit(0.0).alias("_none"), F.struct(*values).alias("_cold"))
+    first = first.withColumn("_spread", F.when(F.col("_hot").isNotNull(), F.xxhash64(*left.columns).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("bigint"))
+    cold = cold.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.lit(0).cast("bigint").alias("_none"), F.struct(*values).alias("_cold"))
     on = [first[k] == cold[f"_c_{k}"] for k in keys] + [first["_spread"] == cold["_none"]]
     both = first.join(cold, on, "left")
     got = F.coalesce(F.col("_hot"), F.col("_cold"))
