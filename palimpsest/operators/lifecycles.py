@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.keys import at_or_before, order_key, ordered
+from ..functions.keys import ORDER, at_or_before, ordered
 
 
 def lifecycles(in_force: DataFrame, item: tuple[str, ...] = ("item_id",)) -> DataFrame:
@@ -46,14 +46,6 @@ def ended_by(in_force: DataFrame, when, item: tuple[str, ...] = ("item_id",), in
 
 def validity(updates: DataFrame, item: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """As-of intervals of each attribute: from its anchor to the next one's."""
-    w = W.partitionBy(*item, "lifecycle", "method").orderBy(*[F.col(f"anchor.{c}") for c in order_fields()])
+    w = W.partitionBy(*item, "lifecycle", "method").orderBy(*[F.col(f"anchor.{c}") for c in ORDER])
     return updates.withColumn("valid_from", F.col("anchor.when_ts")).withColumn("valid_to", F.lead("anchor.when_ts").over(w))
 
-
-def order_fields() -> tuple[str, ...]:
-    from ..functions.keys import ORDER
-
-    return ORDER
-
-
-__all__ = ["ended_by", "lifecycle_intervals", "lifecycles", "next_starts", "order_key", "overlaps", "validity"]

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import ORDER, at_or_before
-from ..operators import fold, forks, lifecycles, measurements, references, timeline, violations
+from ..operators import fold, lifecycles, measurements, references, timeline, violations
 from ..operators import typing as types
 from ..sources.tables import EVENT_LOG, ConcurrentRevision, MemoryStore
 from .algebra import Items, Query
@@ -38,23 +38,37 @@ def _literal(when):
 class Histories:
     """The folded form of a set of versions in force: typed rows, lifecycles, updates, states."""
 
-    def __init__(self, spark: SparkSession, registry: Registry, in_force: DataFrame) -> None:
+    def __init__(self, spark: SparkSession, registry: Registry, in_force: DataFrame, held: bool = False) -> None:
+        """held: the numbered rows and the updates are persisted, for many queries over them; release() lets them go."""
         self.spark, self.registry = spark, registry
         self.closure = types.type_closure(spark, registry.parents())
         targets = in_force.withColumn("referred", F.lit(False))
         args = in_force.select(*[c for c in in_force.columns if c not in ("item_id", "item_class")], F.explode("args").alias("_a")).filter("_a.ref is not null")
         named = args.select(*[F.col("_a.ref.item_id").alias("item_id") if c == "item_id" else F.col("_a.ref.item_class").alias("item_class") if c == "item_class" else F.col(c) for c in in_force.columns], F.lit(True).alias("referred"))
-        rows = types.with_family(targets.unionByName(named), self.closure)
+        parents = list(registry.parents().values())
+        if len(set(parents)) == len(parents):  # one branch: an id is one item
+            rows = targets.unionByName(named).withColumn("family", F.lit(next(t for t, up in registry.parents().items() if up is None)))
+        else:
+            rows = types.with_family(targets.unionByName(named), self.closure)
         self.rows = rows.withColumn("item", F.concat_ws("\x01", "item_id", "family"))
         # References give a type but take effect only with the patch that wins its run.
         self.numbered = lifecycles.lifecycles(self.rows, _ITEM)
+        if held:
+            self.numbered = self.numbered.persist()
+            self.rows = self.numbered.drop("lifecycle")
         self.bounds = types.bounds(self.numbered, self.closure, _ITEM)
         own = self.numbered.filter("not referred")
         self.updates = measurements.updates(own, item=("item", "item_id", "family"), values=("args",))
+        if held:
+            self.updates = self.updates.persist()
         # Annihilations of ids that nothing else names have no family.
         self.lost = in_force.filter("kind = 'annihilation'").join(self.rows.select("item_id").distinct(), "item_id", "left_anti")
         self.ends = self.rows.filter("kind = 'annihilation'").dropDuplicates(["item", *ORDER])
 
+    def release(self) -> None:
+        self.updates.unpersist()
+        self.numbered.unpersist()
+
     def references(self) -> DataFrame:
         """(item, item_id, family, lifecycle, method, anchor, ref_item, ref_id, ref_lifecycle) of the patches that took effect."""
         fam = self.rows.filter("kind <> 'annihilation'").select(F.col("item_id").alias("_i"), F.col("item_class").alias("_c"), F.col("item").alias("ref_item")).distinct()
@@ -285,7 +299,11 @@ class World:
         revision = len(known)
         if checked:
             proposed = timeline.proposed(self.versions(revision), rows, None).filter("item_id is not null")
-            reasons = Histories(self.spark, self.registry, proposed).violations().limit(10).collect()
+            held = Histories(self.spark, self.registry, proposed, held=True)
+            try:
+                reasons = held.violations().limit(10).collect()
+            finally:
+                held.release()
             if reasons:
                 raise RejectedRevision("; ".join(f"{r['reason']}: {r['item_id']} ({r['detail']})" for r in reasons))
         self.store.append(self.name, revision, as_of, rows, tag)
@@ -310,4 +328,4 @@ class World:
         return World(self.spark, self.registry, self.store, name, (self, scope.next_revision, _literal(scope.when)))
 
 
-__all__ = ["ConcurrentRevision", "Histories", "RejectedRevision", "Scope", "World", "forks"]
+__all__ = ["ConcurrentRevision", "Histories", "RejectedRevision", "Scope", "World"]
