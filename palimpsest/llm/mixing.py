@@ -131,14 +131,14 @@ class Mixture:
     def taken(self) -> DataFrame:
         """(source_no, start, taken): words of each document in the mix, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        used = self.pieces().join(times, ["source_no", "block"])
+        used = self.pieces().join(times.hint("merge"), ["source_no", "block"])  # Spark takes the slots for as few as the plan's rows
         return used.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
     def parts(self) -> DataFrame:
         """(doc_id, tie, pass, parts): what each pass takes of each document, as an array of (skip, words)."""
-        used = self.pieces().join(self.slots.select("source_no", "block", "pass"), ["source_no", "block"])
+        used = self.pieces().join(self.slots.select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
         used = used.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("parts"))
-        return used.join(self.sizes.filter("size > 0").select("source_no", "start", "doc_id", "tie", "size"), ["source_no", "start"])
+        return used.join(self.sizes.filter("size > 0").select("source_no", "start", "doc_id", "tie", "size").hint("merge"), ["source_no", "start"])
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -152,7 +152,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     from the rows and the seed.
     """
     mix = Mixture(docs, **options)
-    rows = mix.sizes.join(mix.taken(), ["source_no", "start"], "left")
+    rows = mix.sizes.join(mix.taken().hint("merge"), ["source_no", "start"], "left")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
@@ -188,7 +188,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     parts = mix.parts().select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "parts", "size")
     one = docs.withColumn("_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_tie"])
-    rows = one.join(parts, one.doc_id.eqNullSafe(parts._d) & (one._tie == parts._t)).withColumn("text", cut("text", "parts", "size"))
+    rows = one.join(parts.hint("merge"), one.doc_id.eqNullSafe(parts._d) & (one._tie == parts._t)).withColumn("text", cut("text", "parts", "size"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
