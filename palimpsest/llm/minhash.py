@@ -175,7 +175,7 @@ def _signatures(words: int, size: int, rows: int):
     return run
 
 
-def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = 64, rows: int = 4, block: int = 256) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = 64, rows: int = 4, block: int = 512) -> DataFrame:
     """(doc_id, component_id, group_size, kept) for every row of docs(doc_id, text, ...).
 
     Two documents are linked when the weighted Jaccard similarity of their multisets of `words`-word shingles is `least` or more;
@@ -209,10 +209,10 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     leaders = written(stars.groupBy("leader").agg(F.count("*").alias("n")))
     n_stars = leaders.agg(F.sum("n")).first()[0] or 0
     dealt = hot_safe_join(stars, leaders, ["leader"], "n", n_stars)
-    deal = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / block)).cast("int").alias("deal")
+    deal = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / (block // 2))).cast("int").alias("deal")
     dealt = dealt.select("leader", "member", deal).join(bags.select(F.col("doc_id").alias("member"), "bag", "n"), "member")
     heads = leaders.join(bags.withColumnRenamed("n", "m"), leaders.leader == bags.doc_id)
-    heads = heads.select(F.col("leader").alias("l"), F.explode(F.expr(f"sequence(0, cast(ceil(n / {block}) as int) - 1)")).alias("d"), F.col("bag").alias("l_bag"), F.col("m").alias("l_n"))
+    heads = heads.select(F.col("leader").alias("l"), F.explode(F.expr(f"sequence(0, cast(ceil(n / {block // 2}) as int) - 1)")).alias("d"), F.col("bag").alias("l_bag"), F.col("m").alias("l_n"))
     pairs = dealt.join(heads, (dealt.leader == heads.l) & (dealt.deal == heads.d)).select("leader", "member", "l_bag", "l_n", "bag", "n")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
