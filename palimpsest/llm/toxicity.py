@@ -19,7 +19,7 @@ from .common import crc_mod, documents, written
 
 #: Characters that look like Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("авеѕіјкмнорстухԁӏɡαβεικνορτυχωøłđıſ", "abesijkmhopctyxdlgabeikvoptuxwoldis", strict=True))
-SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasii", strict=True))
+SUBSTITUTES = dict(zip("0134578@$|", "oieastbasi", strict=True))
 #: Weighted general terms to begin with; learning reweighs them and adds to them.
 SEED = {"idiot": 4.0, "moron": 4.0, "stupid": 3.0, "scum": 4.0, "loser": 3.0, "pathetic": 3.0, "worthless": 3.0, "disgusting": 3.0}
 #: Phrases in which terms do not count.
