@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +63,114 @@ def cross_polytope(x: np.ndarray, tables: int, hashes: int, probes: int, seed: i
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Batches sorted by their first `keys` columns as (columns, first row of each group), every group whole.
+
+    A list column x comes as x, its values in a row, and x_at, where each row's begin, with the end of the last.
+    """
+
+    def columns(table: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {}
+        for name, c in zip(table.schema.names, table.columns, strict=True):
+            if pa.types.is_list(c.type):
+                at = c.offsets.to_numpy().astype(np.int64)
+                out[name], out[f"{name}_at"] = c.flatten().to_numpy(zero_copy_only=False), at - at[0]
+            else:
+                out[name] = c.to_numpy(zero_copy_only=False)
+        return out
+
+    def firsts(table: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in table.columns[:keys]:
+            x = c.to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = pa.concat_batches([held, b]) if held is not None else b
+        starts = firsts(held)
+        if len(starts) > 1:
+            yield columns(held.slice(0, starts[-1])), starts[:-1]
+            held = held.slice(starts[-1])
+    if held is not None:
+        yield columns(held), np.zeros(1, np.int64)
+
+
+def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows, the first row that the links (a, b) reach from it."""
+    first = np.arange(n)
+    while True:
+        low = np.minimum(first[a], first[b])
+        new = first.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == first).all():
+            return first
+        first = new
+
+
+def count_links(rows: dict[str, np.ndarray], starts: np.ndarray, least: float, wide: int, most: int = 2_000_000) -> pa.RecordBatch:
+    """(no, n, null): a row's links that are counted here; (no, null, other): what connects the linked rows.
+
+    Groups of one size are multiplied together, `most` products at a time. A pair is counted where it meets first: in the first
+    table, and there in the own bucket of the one with the smaller number if each looks into the other's.
+    """
+    no, own, tab, mine, copies = rows["no"], rows["own"].astype(bool), rows["tab"], rows["mine"], rows["copies"]
+    sizes = np.diff(np.append(starts, len(no)))
+    dims = np.diff(rows["unit_at"])[starts]
+    code = rows["buckets"].reshape(len(no), -1, wide)
+    links, a_all, b_all = np.zeros(len(no), np.int64), [], []
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        for lo in range(0, len(a), 20_000):
+            x, y = a[lo : lo + 20_000], b[lo : lo + 20_000]
+            cx, cy, t = code[x], code[y], tab[x]
+            x_sees, y_sees = (cx == cy[:, :, :1]).any(axis=2), (cy == cx[:, :, :1]).any(axis=2)
+            at = np.arange(len(x))
+            both = x_sees[at, t] & y_sees[at, t]
+            here = np.where(no[x] < no[y], own[x], own[y])
+            earlier = ((x_sees | y_sees) & (np.arange(code.shape[1]) < t[:, None])).any(axis=1)
+            good = (~both | here) & ~earlier
+            x, y = x[good], y[good]
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            a_all.append(x)
+            b_all.append(y)
+
+    for n, d in set(zip(sizes.tolist(), dims.tolist(), strict=True)):
+        if n < 2:
+            continue
+        group = starts[(sizes == n) & (dims == d)]
+        each = max(1, most // (n * max(n, d)))
+        for lo in range(0, len(group), each):
+            at = group[lo : lo + each, None] + np.arange(n)
+            u = rows["unit"][rows["unit_at"][at][:, :, None] + np.arange(d)]
+            near = np.matmul(u, u.transpose(0, 2, 1)) >= least
+            near &= own[at][:, :, None] | own[at][:, None, :]
+            # Two blocks' rows meet across; those of one block meet in its own group.
+            apart = (rows["p"] != rows["q"])[at[:, 0]][:, None, None]
+            near &= ~apart | (mine[at][:, :, None] != mine[at][:, None, :])
+            g, i, j = np.nonzero(np.triu(near, 1))
+            take(at[g, i], at[g, j])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
+    first = _stars(a, b, len(no))
+    some, tied = np.flatnonzero(links), np.flatnonzero(first != np.arange(len(no)))
+    gap_n, gap_other = [None] * len(tied), [None] * len(some)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([no[some], no[tied]])),
+            pa.array([*links[some].tolist(), *gap_n], pa.int64()),
+            pa.array([*gap_other, *no[first[tied]].tolist()], pa.int64()),
+        ],
+        names=["no", "n", "other"],
+    )
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 12, hashes: int = 2, probes: int = 2, block: int = 512, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
@@ -75,7 +182,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 12, hash
     1. Equal vectors of a label are one class, which counts as many links as it has rows.
     2. Every class goes to its own bucket in each table and looks into `probes` more (probes <= hashes). Only ids are dealt out; buckets
        without two classes end here, and classes left in none never move their vectors.
-    3. Each bucket is cut into blocks of about `block` rows, and each two blocks meet in one task, which multiplies them. A pair is
+    3. Each bucket is cut into blocks of about `block` rows, and each two blocks meet in one group, which is multiplied; a task takes
+       its many small groups together. A pair is
        counted in the first table that brings it together, found from both sides' bucket numbers, so no list of pairs is made: a
        task gives a number for each row and the links that connect it.
     """
@@ -109,9 +217,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 12, hash
     ready = written(ready)
     classes = ready.filter("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.first("buckets").alias("buckets"))
     # Class numbers are their own: vec_id may repeat.
-    classes = written(classes.withColumn("no", F.monotonically_increasing_id()))
+    classes = written(classes.withColumn("no", F.monotonically_increasing_id()).withColumn("space", F.xxhash64("label", F.size("unit"))))
     wide = 1 + probes
-    placed = classes.select("no", F.xxhash64("label", F.size("unit")).alias("space"), F.posexplode("buckets").alias("at", "code"))
+    placed = classes.select("no", "space", F.posexplode("buckets").alias("at", "code"))
     placed = placed.select("no", F.xxhash64("space", F.floor(F.col("at") / wide), "code").alias("bucket"), F.floor(F.col("at") / wide).cast("int").alias("tab"), (F.col("at") % wide == 0).alias("own"))
     placed = placed.groupBy("bucket", "tab", "no").agg(F.max("own").alias("own"))
     placed = written(placed)
@@ -122,61 +230,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 12, hash
     rows = rows.select("bucket", "tab", "no", "own", blocks.alias("blocks"), F.pmod(F.xxhash64("no"), blocks).cast("int").alias("mine"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("bucket", "tab", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "no", "own")
-    rows = rows.join(classes.select(F.col("no").alias("_no"), "copies", "unit", "buckets"), F.col("no") == F.col("_no")).drop("_no")
-
-    def compare(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(key[2]), int(key[3])
-        table = int(key[1])
-        df = df.sort_values("no")
-        no, mine, own, copies = df["no"].to_numpy(), df["mine"].to_numpy(), df["own"].to_numpy(), df["copies"].to_numpy()
-        u = np.stack(df["unit"].to_numpy())
-        left = np.flatnonzero(mine == p)
-        right = np.flatnonzero(mine == q) if p != q else left
-        code = np.stack(df["buckets"].to_numpy()).reshape(len(df), -1, wide)
-        links = np.zeros(len(df), np.int64)
-        a_out, b_out = [], []
-        near = u[left] @ u[right].T >= least
-        near &= own[left][:, None] | own[right][None, :]
-        if p == q:
-            near = np.triu(near, 1)
-        for i in range(len(left)):
-            a = left[i]
-            js = right[near[i]]
-            if not len(js):
-                continue
-            # Each looks into the other's own bucket: the smaller one's counts.
-            both = (code[js, table, 0][:, None] == code[a, table]).any(axis=1) & (code[js, table] == code[a, table, 0]).any(axis=1)
-            here = np.where(no[a] < no[js], own[a], own[js])
-            js = js[~both | here]
-            if table and len(js):
-                # Met in an earlier table: one's own bucket is among the other's.
-                ca, cb = code[a, :table], code[js, :table]
-                met = (cb == ca[None, :, :1]).any(axis=(1, 2)) | (ca[None] == cb[:, :, :1]).any(axis=(1, 2))
-                js = js[~met]
-            if len(js):
-                links[a] += copies[js].sum()
-                links[js] += copies[a]
-                a_out += [no[a]] * len(js)
-                b_out += no[js].tolist()
-        # What connects the linked rows, instead of all links.
-        parent = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        tree = []
-        for a, b in zip(a_out, b_out, strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                tree.append((int(a), int(b)))
-        some = np.flatnonzero(links)
-        out = [(int(no[i]), int(links[i]), None) for i in some] + [(a, 0, b) for a, b in tree]
-        return pd.DataFrame({"no": pd.array([x[0] for x in out], "Int64"), "n": pd.array([x[1] for x in out], "Int64"), "other": pd.array([x[2] for x in out], "Int64")})
-
-    met = written(rows.groupBy("bucket", "tab", "p", "q").applyInPandas(compare, "no bigint, n bigint, other bigint"))
+    rows = rows.join(classes.select(F.col("no").alias("_no"), "space", "copies", "unit", "buckets"), F.col("no") == F.col("_no")).drop("_no")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows_, starts in whole_groups(batches, 5):
+            yield count_links(rows_, starts, least, wide)
+
+    order = ["bucket", "tab", "p", "q", "space"]
+    dealt = rows.select(*order, "mine", "no", "own", "copies", "unit", "buckets").repartition("bucket", "tab", "p", "q").sortWithinPartitions(*order, "no")
+    met = written(dealt.mapInArrow(compare, "no bigint, n bigint, other bigint"))
     links = met.filter("other is null").groupBy(F.col("no").alias("l_no")).agg(F.sum("n").alias("linked"))
     found = components(met.filter("other is not null").select(F.col("no").alias("a"), F.col("other").alias("b")))
     known = classes.select("label", "key", "no", "class_id", "copies").join(links, F.col("no") == F.col("l_no"), "left")
