@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,14 +132,26 @@ def _lists(owner: np.ndarray, values: np.ndarray, texts: int, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches of (doc_id, text) in parts of 500 rows and about `most` bytes of text; a longer text is a part of its own."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+        lo = held = 0
+        for i, n in enumerate(sizes):
+            if i > lo and (i - lo == 500 or held + n > most):
+                yield b.slice(lo, i - lo)
+                lo, held = i, 0
+            held += n
+        if lo < b.num_rows:
+            yield b.slice(lo)
+
+
 def _bags(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                owner, shingle, count = shingle_bags([t.as_py() or "" for t in part.column(1)], words)
-                k = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(owner, shingle.view(np.int64), k, pa.int64()), _lists(owner, count.astype(np.int32), k, pa.int32())], names=["doc_id", "bag", "n"])
+        for part in _parts(batches):
+            owner, shingle, count = shingle_bags([t.as_py() or "" for t in part.column(1)], words)
+            k = part.num_rows
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(owner, shingle.view(np.int64), k, pa.int64()), _lists(owner, count.astype(np.int32), k, pa.int32())], names=["doc_id", "bag", "n"])
 
     return run
 
@@ -147,30 +160,28 @@ def _signatures(words: int, size: int, rows: int):
     """Arrow batches of (doc_id, text) to (doc_id, digest of the multiset, signature, band keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                k = part.num_rows
-                owner, shingle, count = shingle_bags([t.as_py() or "" for t in part.column(1)], words)
-                sign = bag_signatures(owner, shingle, count, k, size)
-                full = np.diff(np.searchsorted(owner, np.arange(k + 1))) > 0
-                with np.errstate(over="ignore"):
-                    each = [_mix(shingle * _U(c) + count.astype(_U)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                    digest = [np.zeros(k, _U), np.zeros(k, _U)]
-                    for d, e in zip(digest, each, strict=True):
-                        np.add.at(d, owner, e)
-                    bands = np.zeros((k, size // rows), _U)
-                    for r in range(rows):
-                        bands = _mix(bands + sign[:, r::rows] * _U(0x9E3779B97F4A7C15) + _U(r + 1))
-                m = size // rows
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(full), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                        _lists(np.repeat(np.arange(k), size), (sign & _U(0x7FFF)).astype(np.int16).ravel(), k, pa.int16()),
-                        _lists(np.repeat(np.arange(k), m), bands.view(np.int64).ravel(), k, pa.int64()),
-                    ],
-                    names=["doc_id", "full", "d0", "d1", "sign", "bands"],
-                )
+        for part in _parts(batches):
+            k = part.num_rows
+            owner, shingle, count = shingle_bags([t.as_py() or "" for t in part.column(1)], words)
+            sign = bag_signatures(owner, shingle, count, k, size)
+            full = np.diff(np.searchsorted(owner, np.arange(k + 1))) > 0
+            with np.errstate(over="ignore"):
+                each = [_mix(shingle * _U(c) + count.astype(_U)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                digest = [np.zeros(k, _U), np.zeros(k, _U)]
+                for d, e in zip(digest, each, strict=True):
+                    np.add.at(d, owner, e)
+                bands = np.zeros((k, size // rows), _U)
+                for r in range(rows):
+                    bands = _mix(bands + sign[:, r::rows] * _U(0x9E3779B97F4A7C15) + _U(r + 1))
+            m = size // rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), pa.array(full), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
+                    _lists(np.repeat(np.arange(k), size), (sign & _U(0x7FFF)).astype(np.int16).ravel(), k, pa.int16()),
+                    _lists(np.repeat(np.arange(k), m), bands.view(np.int64).ravel(), k, pa.int64()),
+                ],
+                names=["doc_id", "full", "d0", "d1", "sign", "bands"],
+            )
 
     return run
 
