@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     1. One pass makes BagMinHash signatures of `size` components and size / rows band keys.
     2. Each band's bucket has a leader, its smallest class; all others are compared with it, on their full multisets.
     3. Links give components. Buckets that still hold several components are cut into blocks of `block` rows, and each two blocks
-       meet in a task: first with signatures alone, to find the rows that agree with one of another component in 0.6 of them, then
+       meet in a task: first with signatures alone, to find the rows that agree with one of another component in 0.6 of them and meets it in no earlier band, then
        those rows with their multisets, which are compared unless they are connected by then. So every pair that shares a bucket is
        linked, connected already, or compared (a pair of similarity 0.8 has too few equal components with probability 0.0001).
     Hot leaders and buckets are spread over tasks; no task gathers a bucket.
@@ -208,7 +208,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     signed = written(docs.mapInArrow(_signatures(words, size, rows), schema))
     classes = written(signed.filter("full").groupBy("d0", "d1").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sign").alias("sign"), F.first("bands").alias("bands")))
     # Buckets with two classes or more.
-    placed = classes.select("class_id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("class_id", "key")
+    placed = classes.select("class_id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("class_id", "key", "band")
     buckets = written(placed.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
     n_placed = buckets.agg(F.sum("n")).first()[0] or 0
     members = written(hot_safe_join(placed, buckets, ["key"], "n", n_placed).filter("leader is not null"))
@@ -238,31 +238,33 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     links = written(pairs.mapInArrow(verify, "a bigint, b bigint"))
     found = written(components(links))
     # What the leaders left apart.
-    named = members.join(found, members.class_id == found.node, "left").select("key", "class_id", F.coalesce("component", "class_id").alias("component"))
+    named = members.join(found, members.class_id == found.node, "left").select("key", "band", "class_id", F.coalesce("component", "class_id").alias("component"))
     named = written(named)
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
     mixed = written(mixed)
     n_mixed = mixed.agg(F.sum("n")).first()[0] or 0
     rest = hot_safe_join(named, mixed, ["key"], "n", n_mixed).filter("n is not null")
     rest = written(rest)
-    signs = classes.select(F.col("class_id").alias("_id"), "sign")
+    signs = classes.select(F.col("class_id").alias("_id"), "sign", "bands")
     likely = round(0.6 * size)
 
     def blocked(rows_: DataFrame) -> DataFrame:
         """rows_ with n, the rows of their key: each block of a key meets each other in a group (key, p, q)."""
         blocks = F.ceil(F.col("n") / block).cast("int")
-        out = rows_.select("key", "class_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("own"))
+        out = rows_.select("key", "band", "class_id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("own"))
         out = out.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        return out.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class_id", "component")
+        return out.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "band", "own", "class_id", "component")
 
     def candidates(key: tuple, rows_: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        """For each row of one block, the rows of the other (or later ones) in another component with a signature that is likely enough."""
-        p, q = key[1], key[2]
-        comp, own, sign = rows_["component"].to_numpy(), rows_["own"].to_numpy(), np.stack(rows_["sign"].to_numpy())
+        """For each row of one block, the rows of the other (or later ones) in another component with a signature that is likely
+        enough, where this bucket is the first that the two share."""
+        p, q, band = key[1], key[2], rows_["band"].iloc[0]
+        comp, own, sign, bands = rows_["component"].to_numpy(), rows_["own"].to_numpy(), np.stack(rows_["sign"].to_numpy()), np.stack(rows_["bands"].to_numpy())
         place = np.arange(len(rows_))
         for i in np.flatnonzero(own == p):
             at = np.flatnonzero((comp != comp[i]) & ((own == q) if p != q else (place > i)))
             at = at[(sign[at] == sign[i]).sum(axis=1) >= likely]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
             if len(at):
                 yield i, at
 
@@ -271,14 +273,14 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
         for i, at in candidates(key, rows_):
             found_[i] = True
             found_[at] = True
-        return rows_.loc[found_, ["key", "class_id", "component"]]
+        return rows_.loc[found_, ["key", "band", "class_id", "component"]]
 
     flagged = blocked(rest).join(signs, F.col("class_id") == F.col("_id")).drop("_id")
-    flagged = flagged.groupBy("key", "p", "q").applyInPandas(flag, "key bigint, class_id bigint, component bigint")
+    flagged = flagged.groupBy("key", "p", "q").applyInPandas(flag, "key bigint, band int, class_id bigint, component bigint")
     flagged = written(flagged.distinct())
     counted = written(flagged.groupBy("key").agg(F.count("*").alias("n")))
     flagged = hot_safe_join(flagged, counted, ["key"], "n", counted.agg(F.sum("n")).first()[0] or 0)
-    full = bags.join(signs, F.col("doc_id") == F.col("_id")).select("_id", "bag", F.col("n").alias("counts"), "sign")
+    full = bags.join(signs, F.col("doc_id") == F.col("_id")).select("_id", "bag", F.col("n").alias("counts"), "sign", "bands")
     rest = blocked(flagged).join(full, F.col("class_id") == F.col("_id")).drop("_id")
 
     def compare(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
