@@ -195,7 +195,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     with equal multisets are one class from the start and are not compared. Extra columns are not read.
 
     1. One pass makes BagMinHash signatures of `size` components and size / rows band keys.
-    2. Each band's bucket has a leader, its smallest class; all others are compared with it, on their full multisets.
+    2. Each band's bucket has a leader, its smallest class; all others whose signatures agree with its in 0.6 of the components are
+       compared with it, on their full multisets.
     3. Links give components. Buckets that still hold several components are cut into blocks of `block` rows, and each two blocks
        meet in a task: first with signatures alone, to find the rows that agree with one of another component in 0.6 of them and meets it in no earlier band, then
        those rows with their multisets, which are compared unless they are connected by then. So every pair that shares a bucket is
@@ -221,10 +222,20 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     n_stars = leaders.agg(F.sum("n")).first()[0] or 0
     dealt = hot_safe_join(stars, leaders, ["leader"], "n", n_stars)
     deal = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / (block // 2))).cast("int").alias("deal")
-    dealt = dealt.select("leader", "member", deal).join(bags.select(F.col("doc_id").alias("member"), "bag", "n"), "member")
-    heads = leaders.join(bags.withColumnRenamed("n", "m"), leaders.leader == bags.doc_id)
-    heads = heads.select(F.col("leader").alias("l"), F.explode(F.expr(f"sequence(0, cast(ceil(n / {block // 2}) as int) - 1)")).alias("d"), F.col("bag").alias("l_bag"), F.col("m").alias("l_n"))
-    pairs = dealt.join(heads, (dealt.leader == heads.l) & (dealt.deal == heads.d)).select("leader", "member", "l_bag", "l_n", "bag", "n")
+    dealt = dealt.select("leader", "member", deal)
+
+    def meet(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+        """pairs (leader, member, deal) with the columns of both, the leader's under l_; table (_id, ...) has a row for each class."""
+        heads = pairs.select("leader", "deal").distinct().join(table, F.col("leader") == F.col("_id"))
+        heads = heads.select(F.col("leader").alias("_l"), F.col("deal").alias("_d"), *[F.col(x).alias(f"l_{x}") for x in names])
+        both = pairs.join(table, F.col("member") == F.col("_id")).drop("_id")
+        return both.join(heads, (F.col("leader") == F.col("_l")) & (F.col("deal") == F.col("_d"))).drop("_l", "_d")
+
+    signs = classes.select(F.col("class_id").alias("_id"), "sign", "bands")
+    likely = round(0.6 * size)
+    hopeful = meet(dealt, signs.drop("bands"), ["sign"]).filter(f"size(filter(zip_with(sign, l_sign, (x, y) -> x = y), same -> same)) >= {likely}")
+    hopeful = written(hopeful.select("leader", "member", "deal"))
+    pairs = meet(hopeful, bags.withColumnRenamed("doc_id", "_id"), ["bag", "n"]).select("leader", "member", "l_bag", "l_n", "bag", "n")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,8 +256,6 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     n_mixed = mixed.agg(F.sum("n")).first()[0] or 0
     rest = hot_safe_join(named, mixed, ["key"], "n", n_mixed).filter("n is not null")
     rest = written(rest)
-    signs = classes.select(F.col("class_id").alias("_id"), "sign", "bands")
-    likely = round(0.6 * size)
 
     def blocked(rows_: DataFrame) -> DataFrame:
         """rows_ with n, the rows of their key: each block of a key meets each other in a group (key, p, q)."""
