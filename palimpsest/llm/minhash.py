@@ -186,6 +186,18 @@ def _signatures(words: int, size: int, rows: int):
     return run
 
 
+def _likely_among(docs: DataFrame, wanted: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """docs without most rows whose doc_id is not in wanted(doc_id); none that is in it goes.
+
+    A bit set of words * 64 hashed places, broadcast as a table of `words` rows at most whatever the size of `wanted`, so that few
+    other texts move in the join that follows. Where the set fills up, more rows pass and that join does the rest.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(words * 64))
+    word, bit = F.shiftright(spot, 6), (spot % 64).cast("int")
+    held = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits"))
+    return docs.join(F.broadcast(held), (word == F.col("_word")) & (F.getbit("_bits", bit) == 1), "left_semi")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = 64, rows: int = 4, block: int = 512) -> DataFrame:
     """(doc_id, component_id, group_size, kept) for every row of docs(doc_id, text, ...).
 
@@ -215,8 +227,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     members = written(hot_safe_join(placed, buckets, ["key"], "n", n_placed).filter("leader is not null"))
     stars = written(members.filter("class_id <> leader").select("leader", F.col("class_id").alias("member")).distinct())
     # Multisets of the classes that some bucket compares: their first documents' texts are read again.
-    wanted = members.select(F.col("class_id").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    wanted = written(members.select(F.col("class_id").alias("doc_id")).distinct())
+    texts = _likely_among(docs, wanted).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     bags = written(texts.mapInArrow(_bags(words), _BAG))
     leaders = written(stars.groupBy("leader").agg(F.count("*").alias("n")))
     n_stars = leaders.agg(F.sum("n")).first()[0] or 0
