@@ -30,19 +30,23 @@ def reference_lifecycles(references: DataFrame, in_force: DataFrame) -> DataFram
     return out.filter("_row is not null").select("_row.*", "ref_lifecycle")
 
 
-def transitive_closure(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """(src, dst): which nodes edges (src, dst) reach, by doubling paths: log2(longest path) rounds of one equi-join."""
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """(src, dst): which nodes edges (src, dst) reach, by doubling paths: log2(longest shortest path) rounds of one equi-join.
+
+    A pair that is k + 1 to 2k steps apart has a node at exactly k steps on a shortest path, so only pairs at that distance are
+    prolonged: a pair is made about as often as its source has nodes at k steps, not once for each node between.
+    """
     spark = edges.sparkSession
-    reach = edges.select("src", "dst").distinct()
-    n, reached = -1, 0
-    while reached != n and reached < 1 << depth:
-        n = reached
-        a, b = reach.alias("a"), reach.alias("b")
-        more = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        reach = reach.union(more).distinct()
-        reach = _cut(spark, reach)
+    reach = edges.select("src", "dst").distinct().withColumn("n", F.lit(1).cast("bigint"))
+    k, before, reached = 1, -1, 0
+    while reached != before:
+        before = reached
+        a, b = reach.filter(F.col("n") == k).alias("a"), reach.alias("b")
+        more = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"), (F.col("a.n") + F.col("b.n")).alias("n"))
+        reach = _cut(spark, reach.union(more).groupBy("src", "dst").agg(F.min("n").alias("n")))
         reached = reach.count()
-    return reach
+        k *= 2
+    return reach.select("src", "dst")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -412,10 +412,19 @@ def ghost_references(c: Context) -> DataFrame:
 @query(f"""WITH RECURSIVE {LOG_SQL}, {_in_force_sql()}, edges AS (SELECT DISTINCT item_id AS src, ref_id AS dst FROM eff WHERE ref_id IS NOT NULL AND kind = 'change' AND item_id % 8 < 5 AND event_key % 3 = 1),
 reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach""")
 def transitive_closure(c: Context) -> DataFrame:
+    """The closure of the part of the references that the SQL names, not of all: see `reference_closure`."""
     edges = c.in_force.filter("ref_id is not null and kind = 'change' and item_id % 8 < 5 and event_id % 3 = 1").select(F.col("item_id").alias("src"), F.col("ref_id").alias("dst"))
     return references.transitive_closure(edges)
 
 
+@query(f"""WITH RECURSIVE {LOG_SQL}, {_in_force_sql()}, edges AS (SELECT DISTINCT item_id AS src, ref_id AS dst FROM eff WHERE ref_id IS NOT NULL AND kind <> 'annihilation'),
+reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach""")
+def reference_closure(c: Context) -> DataFrame:
+    """Which items each item reaches through all references in force."""
+    edges = c.in_force.filter("ref_id is not null and kind <> 'annihilation'").select(F.col("item_id").alias("src"), F.col("ref_id").alias("dst"))
+    return references.transitive_closure(edges)
+
+
 # Violations
 
 
