@@ -53,7 +53,8 @@ def custom(live: DataFrame, reducer: Callable[[pd.DataFrame], pd.DataFrame], sch
 def component_fold(live: DataFrame, edges: DataFrame, reducer: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A reducer over all updates of the items that references connect: for patches that change other items.
 
-    edges(a, b) are item ids. Components come from min-label propagation with pointer jumping; the reducer gets one at a time.
+    edges(a, b) are item ids. Components come from min-label propagation with pointer jumping; the reducer gets one at a time,
+    whole, so a component must fit into one task. What can be added up goes through `component_shares`, which has no such bound.
     """
     from .references import connected
 
@@ -63,6 +64,20 @@ def component_fold(live: DataFrame, edges: DataFrame, reducer: Callable[[pd.Data
     return flat.groupBy("component").applyInPandas(lambda p: reducer(p.sort_values([*ORDER, "item_id", "method"], kind="stable")), schema)
 
 
+def component_shares(live: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, item_id, share): what part of its component's sum of values each item gives, to 6 places; null where the sum is 0.
+
+    edges(a, b) are item ids. Values are added up by item first, and a component's items never come together in one task.
+    """
+    from .references import _cut, attached, connected
+
+    own = live.groupBy("item_id").agg(F.sum("value").alias("own")).join(connected(edges), "item_id", "left")
+    own = _cut(live.sparkSession, own.select(F.coalesce("component", "item_id").alias("component"), "item_id", "own"))
+    totals = own.groupBy("component").agg(F.sum("own").alias("total"))
+    rows = attached(own, totals, "component", "item_id")
+    return rows.select("component", "item_id", F.when(F.col("total") != 0, F.round(F.col("own") / F.col("total"), 6)).alias("share"))
+
+
 def running(updates: DataFrame, item: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """Adds `total`, the sum of an attribute after each of its updates: the states that invariants are held against."""
     w = W.partitionBy(*item, "lifecycle", "method").orderBy("anchor").rowsBetween(W.unboundedPreceding, W.currentRow)

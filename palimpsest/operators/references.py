@@ -57,14 +57,21 @@ def connected(edges: DataFrame) -> DataFrame:
     labels = _cut(spark, both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")))
     while True:
         seen = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("component").alias("c"))
+        near = attached(both, labels.withColumnRenamed("a", "b"), "b", "a").groupBy("a").agg(F.min("component").alias("c"))
         labels = labels.join(near, "a").select("a", F.least("component", "c").alias("component"))
         jump = labels.select(F.col("a").alias("component"), F.col("component").alias("c"))
-        labels = _cut(spark, labels.join(jump, "component").select("a", F.least("component", "c").alias("component")))
+        labels = _cut(spark, attached(labels, jump, "component", "a").select("a", F.least("component", "c").alias("component")))
         if labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0] == seen:
             return labels.withColumnRenamed("a", "item_id")
 
 
+def attached(rows: DataFrame, side: DataFrame, key: str, by: str, parts: int = 64) -> DataFrame:
+    """rows joined by key with side, which has one row for each key; the rows of a key are dealt over parts by a hash of `by`."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)))
+    sides = dealt.select(key, "_part").distinct().join(side, key)
+    return dealt.join(sides, [key, "_part"]).drop("_part")
+
+
 def _cut(spark, df: DataFrame) -> DataFrame:
     """df with its lineage cut, by a checkpoint in the shared folder."""
     from ..sources.tables import ensure_checkpoint_dir

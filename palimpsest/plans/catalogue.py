@@ -506,13 +506,6 @@ def custom_reducer_fold(c: Context) -> DataFrame:
 
 @query()
 def component_fold(c: Context) -> DataFrame:
-    """Items that `error` events connect, folded together: a value given by one item is taken from the others in turn."""
-    edges = c.in_force.filter("ref_id is not null and event_id % 50 = 1").select(F.col("item_id").alias("a"), F.col("ref_id").alias("b"))
-
-    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
-        pool: dict = {}
-        for i, v in zip(rows["item_id"], rows["value"], strict=True):
-            pool[i] = pool.get(i, 0.0) + v
-        return pd.DataFrame({"component": rows["component"].iloc[0], "item_id": list(pool), "share": [round(v / sum(pool.values()), 6) for v in pool.values()]})
-
-    return fold.component_fold(fold.alive(c.updates, c.in_force, WHEN), edges, reduce, "component bigint, item_id bigint, share double")
+    """Each item's share of the values of its component: of all items that references in force connect it with."""
+    edges = c.in_force.filter("ref_id is not null and kind <> 'annihilation'").select(F.col("item_id").alias("a"), F.col("ref_id").alias("b"))
+    return fold.component_shares(fold.alive(c.updates, c.in_force, WHEN), edges)

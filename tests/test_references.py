@@ -1,8 +1,11 @@
 """Closures and components over all references, against plain Python."""
 
+import collections
 import random
 
-from palimpsest.operators import references
+import pandas as pd
+
+from palimpsest.operators import fold, references
 from palimpsest.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +40,49 @@ def test_reference_closure_is_of_all_references_in_force(spark):
     want = reached({tuple(r) for r in rows})
     got = [tuple(r) for r in catalogue.QUERIES["reference_closure"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def shares(values, edges):
+    """{item: (component, share)} of (item, value) rows."""
+    label = {i: i for i, _ in values} | {i: i for e in edges for i in e}
+    while True:
+        before = dict(label)
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    own, total = collections.Counter(), collections.Counter()
+    for i, v in values:
+        own[i] += v
+        total[label[i]] += v
+    return {i: (label[i], v / total[label[i]] if total[label[i]] else None) for i, v in own.items()}
+
+
+def agrees(got, want):
+    assert len(got) == len(want)
+    for r in got:
+        component, share = want[r.item_id]
+        assert r.component == component and (r.share is None) == (share is None) and abs((r.share or 0) - (share or 0)) < 1.1e-6
+
+
+def test_component_shares_of_a_chain_a_hub_and_single_items(spark):
+    rng = random.Random(6)
+    edges = [(i + 1, i) for i in range(60)] + [(100, 101 + i) for i in range(90)] + [(200, 200), (210, 211), (211, 210)]
+    values = [(rng.choice([*range(60), *range(100, 190), 200, 210, 211, 300]), rng.randrange(1, 900) / 4) for _ in range(500)] + [(400, 0.0), (401, 2.0)]
+    rows = spark.createDataFrame([(i, 0, "m", v, (0, None, 0, n, 0)) for n, (i, v) in enumerate(values)], "item_id bigint, lifecycle bigint, method string, value double, anchor struct<when_rank int, when_ts timestamp_ntz, revision int, tb int, intra int>")
+    links = spark.createDataFrame(edges, "a bigint, b bigint")
+    want = shares(values, edges)
+    agrees(fold.component_shares(rows, links).collect(), want)
+
+    def reduce(p):
+        s = p.groupby("item_id").value.sum()
+        return pd.DataFrame({"component": p.component.iloc[0], "item_id": s.index, "share": [v / s.sum() if s.sum() else None for v in s]})
+
+    agrees(fold.component_fold(rows, links, reduce, "component bigint, item_id bigint, share double").filter("item_id <> 400").collect(), {i: w for i, w in want.items() if i != 400})
+
+
+def test_component_fold_connects_by_all_references_in_force(spark):
+    c = catalogue.Context(spark, SF)
+    edges = [tuple(r) for r in c.in_force.filter("ref_id is not null and kind <> 'annihilation'").select("item_id", "ref_id").collect()]
+    values = [tuple(r) for r in fold.alive(c.updates, c.in_force, catalogue.WHEN).select("item_id", "value").collect()]
+    agrees(catalogue.QUERIES["component_fold"](spark, SF).collect(), shares(values, edges))
