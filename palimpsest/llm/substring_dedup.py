@@ -16,6 +16,9 @@ _U = np.uint64
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _BYTES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
+_M2 = 0xD6E8FEB86659FD93
+_INVERSE2 = pow(_M2, -1, 1 << 64)
+_BYTES2 = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -143,6 +146,18 @@ def anchors(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]
     return {"text": text, "lo": lo - base, "hi": hi - base, "off": anchor - lo, "h": h[anchor], "sh": sh, "_base": base, "_sums": sums, "_inverse": inverse}
 
 
+def _second(texts: list[bytes], at: np.ndarray, length: int) -> np.ndarray:
+    """A hash, independent of those of `anchors`, of the `length` bytes at each place `at` of the joined texts."""
+    value = _BYTES2[np.frombuffer(b"".join(texts), np.uint8)]
+    with np.errstate(over="ignore"):
+        power = np.full(len(value), _M2, _U)
+        power[0] = 1
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(value * np.multiply.accumulate(power), dtype=_U)])
+        inverse = np.full(len(value), _INVERSE2, _U)
+        inverse[0] = 1
+        return _mix((sums[at + length] - sums[at]) * np.multiply.accumulate(inverse)[at])
+
+
 def _groups(data: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
     group, size, at = [], 0, 0
     for i, t in enumerate(data):
@@ -161,7 +176,8 @@ _PACK = ("h", "sh", "doc", "loc")
 
 def _snippets(length: int, gram: int, hot: np.ndarray):
     """Arrow batches of (key, text) to (h, sh, doc, loc): the first of each equal snippet of a batch under its h; the others, which
-    need no comparison, under sh = null. loc packs lo, hi - lo and off. Snippets with an anchor in `hot` go one start at a time."""
+    need no comparison, under sh = null. loc packs lo, hi - lo and off. Snippets with an anchor in `hot` go one start at
+    a time, h and sh being two independent hashes of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,7 +204,7 @@ def _snippets(length: int, gram: int, hot: np.ndarray):
                         g = start + a["_base"][who]
                         with np.errstate(over="ignore"):
                             whole = (a["_sums"][g + length] - a["_sums"][g]) * a["_inverse"][g]
-                            single = [_mix(whole + _U(1)), _mix(whole ^ _U(0xE7037ED1A0B428DB)), cols[2][who], start, np.zeros_like(start), np.zeros_like(start)]
+                            single = [_mix(whole + _U(1)), _second(group, g, length), cols[2][who], start, np.zeros_like(start), np.zeros_like(start)]
                         parts.append([c[again] for c in cols[:1]] + [np.zeros(again.sum(), _U)] + [c[again] for c in cols[2:]] + [np.ones(again.sum(), bool)])
                         parts.append([*single, np.zeros(len(who), bool)])
                         cols = [c[~is_hot] for c in cols]
@@ -362,8 +378,9 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest:
 
     1. Every string is assigned to an anchor (see `anchors`); runs of starts with one anchor are snippets, about 3% as many as bytes.
        Equal snippets are combined in each batch, then snippets meet by anchor hash: an equal one of an older document covers a snippet as a
-       whole. Snippets of anchors that over 1% of a sample hold travel one start at a time, so that no anchor gathers rows.
-    2. Different snippets of one anchor, with their bytes, go through the family of suffix arrays (`SuffixFamily`) in the order of
+       whole. Snippets of anchors that over 1% of a sample hold travel one start at a time, so that no anchor gathers rows:
+       these meet by a hash of all their bytes, and are equal if a second, independent one agrees too.
+    2. Different snippets of one anchor (or of one hash, for single starts), with their bytes, go through the family of suffix arrays (`SuffixFamily`) in the order of
        age: each batch is sorted, merge-scanned against the levels for matches of `length` bytes, and merged into them.
     3. The spans of each document are cut out of its text.
     """

@@ -1,0 +1,23 @@
+"""Single starts of hot anchors: two independent hashes, and bytes where they disagree."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from palimpsest.llm import substring_dedup
+
+
+def test_hot_starts_that_share_a_key_are_told_apart(monkeypatch):
+    table = substring_dedup._BYTES.copy()
+    table[ord("Y")] = table[ord("X")]  # the first hash takes X and Y for one byte
+    monkeypatch.setattr(substring_dedup, "_BYTES", table)
+    text = "".join(random.Random(2).choices("abcdefgh ", k=300))
+    texts = [text[:150] + c + text[151:] for c in "XY"]
+    hot = np.unique(substring_dedup.anchors([t.encode() for t in texts], 100, 32)["h"])
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([t])], names=["doc", "text"]) for i, t in enumerate(texts)]
+    rows = pa.Table.from_batches(list(substring_dedup._snippets(100, 32, hot)(iter(batches)))).sort_by("h").combine_chunks()
+    met = pa.Table.from_batches(list(substring_dedup._meet(100)(iter(rows.to_batches())))).to_pylist()
+    over = set(range(51, 151))  # starts of strings that hold the byte
+    assert sorted(r["lo"] for r in met if r["off"] < 0 and r["doc"] == 1) == sorted(set(range(201)) - over)
+    assert sorted((r["doc"], r["lo"], r["hi"]) for r in met if r["off"] >= 0) == [(d, s, s) for d in (0, 1) for s in sorted(over)]
