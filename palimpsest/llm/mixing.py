@@ -194,5 +194,33 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+def mix_shards(docs: DataFrame, **options) -> DataFrame:
+    """(shard, slot, doc_id, skip, words, text): the mix as the output shards hold it, a row for each document's part of each slot.
+
+    A slot holds a block; in it, parts go by doc_id and, where that repeats, by a hash of the text. text is the stretch from the first to the
+    last of the part's `words` words, which come after `skip` words of the document. Rows that agree in doc_id and text are cut alike.
+    """
+    import re
+
+    mix = Mixture(docs, **options)
+    word = re.compile(WORD)
+
+    @F.pandas_udf("array<struct<shard int, slot bigint, skip bigint, words bigint, text string>>")
+    def cut(text: pd.Series, parts: pd.Series) -> pd.Series:
+        out = []
+        for t, p in zip(text, parts, strict=True):
+            spans = [m.span() for m in word.finditer(t)]
+            out.append([{**x, "text": t[spans[x["skip"]][0] : spans[x["skip"] + x["words"] - 1][1]]} for x in p])
+        return pd.Series(out)
+
+    used = mix.pieces().join(mix.slots.select("source_no", "block", "shard", "slot").hint("merge"), ["source_no", "block"])
+    used = used.groupBy("source_no", "start").agg(F.collect_list(F.struct("shard", "slot", "skip", "words")).alias("parts"))
+    parts = used.join(mix.sizes.filter("size > 0").select("source_no", "start", "doc_id", "tie").hint("merge"), ["source_no", "start"])
+    parts = parts.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "parts")
+    one = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).dropDuplicates(["doc_id", "_tie"])
+    rows = one.join(parts.hint("merge"), one.doc_id.eqNullSafe(parts._d) & (one._tie == parts._t))
+    return rows.select("doc_id", F.explode(cut("text", "parts")).alias("p")).select("p.shard", "p.slot", "doc_id", "p.skip", "p.words", "p.text")
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
