@@ -69,7 +69,8 @@ def attached(rows: DataFrame, side: DataFrame, key: str, by: str, parts: int = 6
     """rows joined by key with side, which has one row for each key; the rows of a key are dealt over parts by a hash of `by`."""
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)))
     sides = dealt.select(key, "_part").distinct().join(side, key)
-    return dealt.join(sides, [key, "_part"]).drop("_part")
+    # Dealt out by name: where Spark broadcasts dealt, the joined rows stay where sides are, which else lie by key alone.
+    return dealt.repartition(key, "_part").join(sides.repartition(key, "_part"), [key, "_part"]).drop("_part")
 
 
 def _cut(spark, df: DataFrame) -> DataFrame:

@@ -86,3 +86,10 @@ def test_component_fold_connects_by_all_references_in_force(spark):
     edges = [tuple(r) for r in c.in_force.filter("ref_id is not null and kind <> 'annihilation'").select("item_id", "ref_id").collect()]
     values = [tuple(r) for r in fold.alive(c.updates, c.in_force, catalogue.WHEN).select("item_id", "value").collect()]
     agrees(catalogue.QUERIES["component_fold"](spark, SF).collect(), shares(values, edges))
+
+
+def test_rows_of_one_key_do_not_come_together(spark):
+    rows = spark.range(2000).selectExpr("id AS a", "1L AS k")
+    side = spark.range(3).selectExpr("id AS k", "'x' AS v").repartition(8, "k")
+    got = references.attached(rows.hint("broadcast"), side.hint("merge"), "k", "a").rdd.glom().map(len).collect()
+    assert sum(got) == 2000 and max(got) < 1600
