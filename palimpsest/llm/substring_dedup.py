@@ -1,4 +1,4 @@
-"""Exact substring deduplication: anchored candidates, then a logarithmic family of suffix arrays."""
+"""Exact substring deduplication: strings meet by content-defined anchors in a logarithmic family of suffix arrays."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,6 @@ _U = np.uint64
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _BYTES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
-_M2 = 0xD6E8FEB86659FD93
-_INVERSE2 = pow(_M2, -1, 1 << 64)
-_BYTES2 = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -28,84 +26,109 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class SuffixArray:
-    """The suffixes of some strings that have `length` bytes or more, sorted by those bytes and then by age."""
+    """Places `at` in `data`, sorted by the `length` bytes that begin there; no two of these strings are equal.
 
-    def __init__(self, keys: np.ndarray, rank: int) -> None:
-        self.keys, self.rank = keys, rank
+    keys holds the strings themselves in that order, as rows of 8-byte words with a last byte that is not zero.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, keys: np.ndarray, rank: int = 0) -> None:
+        self.data, self.at, self.keys, self.rank = data, at, keys, rank
 
     @classmethod
-    def of(cls, strings: list[bytes], length: int) -> tuple[SuffixArray, np.ndarray]:
-        """The array of a new batch, and which of its suffixes (in order of string and place) repeat an older one of the batch."""
-        parts = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, np.uint8), length) for s in strings if len(s) >= length]
-        flat = np.ones((sum(map(len, parts)), length + 1), np.uint8)  # a last byte that is not zero keeps zero bytes
-        np.concatenate(parts, out=flat[:, :length]) if parts else None
-        keys = flat.reshape(-1).view(f"S{length + 1}")
-        order = np.argsort(keys, kind="stable")
+    def of(cls, data: np.ndarray, starts: np.ndarray, length: int) -> tuple[SuffixArray, np.ndarray, np.ndarray]:
+        """The array of the first place of each different string among `starts` (rising), and for each start its string's number in the
+        array and whether an earlier start has the same string."""
+        rows = np.ones((len(starts), -(-(length + 1) // 8) * 8), np.uint8)
+        if len(starts):
+            rows[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
+        keys = rows.view(np.uint64)
+        order = _order(keys)
         keys = keys[order]
-        again = np.zeros(len(keys), bool)
-        again[order[1:]] = keys[1:] == keys[:-1]
-        return cls(keys, 0), again
-
-    def scan(self, other: SuffixArray) -> np.ndarray:
-        """For each suffix of other, in its order: whether one here shares its first bytes."""
-        if not len(self.keys):
-            return np.zeros(len(other.keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, other.keys), len(self.keys) - 1)
-        return self.keys[at] == other.keys
-
-    def merged(self, other: SuffixArray) -> SuffixArray:
-        keys = np.concatenate([self.keys, other.keys])
-        keys.sort(kind="stable")  # two sorted runs: one merge
-        return SuffixArray(keys, max(self.rank, other.rank) + 1)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(new) - 1
+        again = np.ones(len(keys), bool)
+        again[order[new]] = False
+        return cls(data, starts[order[new]], keys[new]), number, again
+
+    def scan(self, new: SuffixArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One merge of the two sorted runs: the merged strings, their order (ours first among equal ones), and for each of new's
+        strings whether it is one of ours."""
+        keys = np.concatenate([self.keys, new.keys])
+        order = _order(keys)  # two sorted runs: Timsort merges them in one pass
+        theirs = np.flatnonzero(order >= len(self.at))
+        hit = np.zeros(len(new.at), bool)
+        hit[order[theirs] - len(self.at)] = (theirs > 0) & (keys[order[theirs]] == keys[order[theirs - 1]]).all(axis=1)
+        return keys, order, hit
+
+    def merged(self, new: SuffixArray) -> SuffixArray:
+        """Both arrays as one of the next level; they share no string."""
+        keys, order, _ = self.scan(new)
+        at = np.concatenate([self.at, new.at + len(self.data)])[order]
+        return SuffixArray(np.concatenate([self.data, new.data]), at, keys[order], max(self.rank, new.rank) + 1)
+
+    def only(self, wanted: np.ndarray, ends: np.ndarray) -> SuffixArray:
+        """The array of some of its strings, without the texts (that end at `ends` in the data) that hold none of them."""
+        at = self.at[wanted]
+        text = np.searchsorted(ends, at, side="right")
+        held = np.zeros(len(ends), bool)
+        held[text] = True
+        sizes = np.diff(ends, prepend=0)
+        moved = np.cumsum(np.where(held, sizes, 0)) - np.where(held, sizes, 0) - (ends - sizes)
+        return SuffixArray(self.data[np.repeat(held, sizes)], at + moved[text], self.keys[wanted], self.rank)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of rows by their bytes."""
+    return np.argsort(keys.reshape(-1).view(f"S{8 * keys.shape[1]}"), kind="stable")
 
 
 class SuffixFamily:
-    """A logarithmic family of suffix arrays: levels of 1, 2, 4, ... batches, each at most once."""
+    """A logarithmic family of suffix arrays: levels of rank 0, 1, 2, ..., each at most once, that share no string."""
 
     def __init__(self, length: int) -> None:
         self.length, self.levels = length, []
 
     def add(self, strings: list[bytes]) -> list[np.ndarray]:
         """For each string of a new batch, which of its starts have `length` bytes that begin earlier: in a string added before, in
-        an earlier string of the batch, or earlier in the string. The batch then joins the family."""
-        new, again = SuffixArray.of(strings, self.length)
-        if self.levels and len(new.keys):
-            hit = np.zeros(len(new.keys), bool)
-            for level in self.levels:
-                hit |= level.scan(new)
-            again |= _unsorted(hit, strings, self.length)
-        while self.levels and self.levels[-1].rank == new.rank:
-            new = self.levels.pop().merged(new)
-        self.levels.append(new)
+        an earlier string of the batch, or earlier in the string. What is new of the batch then joins the family."""
+        ends = np.cumsum([len(s) for s in strings]) if strings else np.zeros(0, np.int64)
+        again = self.found(np.frombuffer(b"".join(strings), np.uint8), ends)[1]
         counts = [max(0, len(s) - self.length + 1) for s in strings]
         return np.split(again, np.cumsum(counts)[:-1]) if counts else []
 
-
-def _unsorted(hit: np.ndarray, strings: list[bytes], length: int) -> np.ndarray:
-    parts = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, np.uint8), length) for s in strings if len(s) >= length]
-    flat = np.ones((len(hit), length + 1), np.uint8)
-    np.concatenate(parts, out=flat[:, :length])
-    order = np.argsort(flat.reshape(-1).view(f"S{length + 1}"), kind="stable")
-    out = np.empty(len(hit), bool)
-    out[order] = hit
-    return out
+    def found(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """add() of texts that end at `ends` in data: the starts of all strings, and whether each begins earlier."""
+        sizes = np.diff(ends, prepend=0)
+        counts = np.maximum(0, sizes - self.length + 1)
+        starts = np.repeat(ends - sizes - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        new, number, again = SuffixArray.of(data, starts, self.length)
+        known = np.zeros(len(new.at), bool)
+        for level in self.levels:
+            known |= level.scan(new)[2]
+        again |= known[number]
+        if not known.all():
+            carry = new.only(~known, ends)
+            while self.levels and self.levels[-1].rank == carry.rank:
+                carry = self.levels.pop().merged(carry)
+            self.levels.append(carry)
+        return starts, again
 
 
 def anchors(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """The anchored snippets of texts: columns text, lo, hi, off, h, sh.
+    """The anchored snippets of texts: columns text, lo, hi, h, sh, and base, where the text begins in all of them together.
 
     Each start of a `length`-byte string goes to its anchor, the place of the least hash among the `gram`-byte strings in it,
-    leftmost first. Starts lo..hi of a text that share an anchor at lo + off make one snippet, the bytes lo to hi + length. Equal
-    strings have anchors at the same distance and with equal bytes: they are found among snippets that agree in h, the anchor's hash.
-    sh is a hash of all of the snippet's bytes and off.
+    leftmost first. Starts lo..hi of a text that share an anchor make one snippet, the bytes lo to hi + length. Equal
+    strings have equal anchors: they are found among snippets that agree in h, the anchor's hash. sh is a hash of the snippet's bytes.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.concatenate([[0], np.cumsum(lengths)])
     n = len(data)
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "lo", "hi", "off")} | {k: np.zeros(0, _U) for k in ("h", "sh")}
     if not (lengths >= length).any():
-        return empty
+        return {k: np.zeros(0, np.int64) for k in ("text", "lo", "hi", "base")} | {k: np.zeros(0, _U) for k in ("h", "sh")}
     with np.errstate(over="ignore"):
         value = _BYTES[data]
         h, m, width = value, _U(_M), 1
@@ -122,7 +145,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]
         if reach < span:
             low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
         low = (low & _U(0xFFFFFFFF)).astype(np.int64)
-        valid = np.zeros(n + 1, np.int8)
+        valid = np.zeros(n + 1, np.int32)
         long_ = lengths >= length
         np.add.at(valid, begin[:-1][long_], 1)
         np.add.at(valid, (begin[1:] - length + 1)[long_], -1)
@@ -133,190 +156,219 @@ def anchors(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start)) - 1
         lo, hi, anchor = start[first], start[last], at[first]
-        inverse = np.full(n + 1, _INVERSE, _U)
-        inverse[0] = 1
-        inverse = np.multiply.accumulate(inverse)
         power = np.full(n, _M, _U)
         power[0] = 1
-        power = np.multiply.accumulate(power)
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(value * power, dtype=_U)])
-        sh = _mix(_mix((sums[hi + length] - sums[lo]) * inverse[lo]) + (hi - lo).astype(_U) * _U(0xD1B54A32D192ED03) + (anchor - lo).astype(_U))
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(value * np.multiply.accumulate(power), dtype=_U)])
+        inverse = np.full(n, _INVERSE, _U)
+        inverse[0] = 1
+        sh = _mix((sums[hi + length] - sums[lo]) * np.multiply.accumulate(inverse)[lo]) + (hi - lo).astype(_U)
     text = np.searchsorted(begin, lo, side="right") - 1
-    base = begin[text]
-    return {"text": text, "lo": lo - base, "hi": hi - base, "off": anchor - lo, "h": h[anchor], "sh": sh, "_base": base, "_sums": sums, "_inverse": inverse}
+    return {"text": text, "lo": lo - begin[text], "hi": hi - begin[text], "base": begin[text], "h": h[anchor], "sh": sh}
+
+
+def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes; a longer text is a range of its own."""
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > most:
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _runs(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans sorted by (text, lo) with those that touch or overlap joined; hi rises with lo within a text."""
+    if not len(lo):
+        return text, lo, hi
+    new = np.ones(len(lo), bool)
+    new[1:] = (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])
+    first = np.flatnonzero(new)
+    return text[first], lo[first], hi[np.append(first[1:], len(lo)) - 1]
+
+
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Whether the `sizes` bytes (length to 2 * length of them) at a and at b are equal."""
+    windows, out = np.lib.stride_tricks.sliding_window_view(data, length), np.ones(len(a), bool)
+    for lo in range(0, len(a), 4096):
+        x, y, z = a[lo : lo + 4096], b[lo : lo + 4096], (sizes - length)[lo : lo + 4096]
+        out[lo : lo + 4096] = (windows[x] == windows[y]).all(axis=1) & (windows[x + z] == windows[y + z]).all(axis=1)
+    return out
 
 
-def _second(texts: list[bytes], at: np.ndarray, length: int) -> np.ndarray:
-    """A hash, independent of those of `anchors`, of the `length` bytes at each place `at` of the joined texts."""
-    value = _BYTES2[np.frombuffer(b"".join(texts), np.uint8)]
-    with np.errstate(over="ignore"):
-        power = np.full(len(value), _M2, _U)
-        power[0] = 1
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(value * np.multiply.accumulate(power), dtype=_U)])
-        inverse = np.full(len(value), _INVERSE2, _U)
-        inverse[0] = 1
-        return _mix((sums[at + length] - sums[at]) * np.multiply.accumulate(inverse)[at])
+#: What a row says of its span of a text: it goes, it meets others of its anchor, it does so one start at a time.
+GONE, MEETS, SINGLES = 0, 1, 2
+_SPANS = "h bigint, doc bigint, lo bigint, hi bigint, kind tinyint"
 
 
-def _groups(data: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    group, size, at = [], 0, 0
-    for i, t in enumerate(data):
-        b = (t or "").encode()
-        if group and size + len(b) > most:
-            yield at, group
-            group, size, at = [], 0, i
-        group.append(b)
-        size += len(b)
-    if group:
-        yield at, group
+def _spans(h, doc, lo, hi, kind) -> pa.RecordBatch:
+    columns = [pa.array(h.view(np.int64)), pa.array(doc), pa.array(lo), pa.array(hi), pa.array(np.broadcast_to(np.int8(kind), len(doc)))]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "doc", "lo", "hi", "kind"])
 
 
-_PACK = ("h", "sh", "doc", "loc")
+def _snippets(length: int, gram: int, group: int = 1 << 19, window: int = 1 << 23):
+    """Arrow batches of (doc, text) to (h, doc, lo, hi, kind), lo to hi being a snippet's bytes.
 
+    Texts are read in windows of about `window` bytes, each in groups of about `group`. Of a window's snippets that are equal byte by
+    byte the oldest meets those of other windows; the others' bytes go, and their rows are spread over all partitions.
+    """
 
-def _snippets(length: int, gram: int, hot: np.ndarray):
-    """Arrow batches of (key, text) to (h, sh, doc, loc): the first of each equal snippet of a batch under its h; the others, which
-    need no comparison, under sh = null. loc packs lo, hi - lo and off. Snippets with an anchor in `hot` go one start at
-    a time, h and sh being two independent hashes of its bytes."""
+    def work(docs: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        columns, base = [], 0
+        for at, end in _groups([len(t) for t in texts], group):
+            a = anchors(texts[at:end], length, gram)
+            columns.append([a["h"], a["sh"], a["text"] + at, a["lo"], a["hi"] + length, a["base"] + base])
+            base += sum(map(len, texts[at:end]))
+        h, sh, text, lo, hi, base = [np.concatenate(c) for c in zip(*columns, strict=True)]
+        if not len(h):
+            return
+        doc = docs[text]
+        order = np.lexsort((lo, doc, sh, h))
+        h, sh, text, doc, lo, hi, base = [c[order] for c in (h, sh, text, doc, lo, hi, base)]
+        like = np.zeros(len(h), bool)
+        like[1:] = (h[1:] == h[:-1]) & (sh[1:] == sh[:-1]) & ((hi - lo)[1:] == (hi - lo)[:-1])
+        oldest = np.maximum.accumulate(np.where(like, 0, np.arange(len(h))))
+        some = np.flatnonzero(like)
+        place = base + lo
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        like[some] = _same(data, place[some], place[oldest[some]], (hi - lo)[some], length)
+        yield _spans(h[~like], doc[~like], lo[~like], hi[~like], MEETS)
+        if like.any():
+            by = np.lexsort((lo[like], text[like]))
+            text, lo, hi = _runs(text[like][by], lo[like][by], hi[like][by])
+            yield _spans(_mix(docs[text].astype(_U)), docs[text], lo, hi, GONE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs = b.column(0).to_numpy(zero_copy_only=False)
-            parts = []
-            for at, group in _groups(b.column(1).to_pylist()):
-                a = anchors(group, length, gram)
-                if not len(a["lo"]):
-                    continue
-                cols = [a["h"], a["sh"], docs[a["text"] + at].astype(np.int64), a["lo"], a["hi"] - a["lo"], a["off"]]
-                if len(hot):
-                    is_hot = np.isin(a["h"], hot)
-                    if is_hot.any():
-                        # Equal ones first, so that only different ones are taken apart.
-                        keep = np.flatnonzero(is_hot)
-                        order = keep[np.lexsort((a["lo"][keep], cols[2][keep], a["sh"][keep], a["h"][keep]))]
-                        same = (a["h"][order][1:] == a["h"][order][:-1]) & (a["sh"][order][1:] == a["sh"][order][:-1])
-                        again = np.zeros(len(is_hot), bool)
-                        again[order[1:]] = same
-                        one = np.flatnonzero(is_hot & ~again)
-                        reps = cols[4][one] + 1
-                        who = np.repeat(one, reps)
-                        start = a["lo"][who] + np.arange(len(who)) - np.repeat(np.cumsum(reps) - reps, reps)
-                        g = start + a["_base"][who]
-                        with np.errstate(over="ignore"):
-                            whole = (a["_sums"][g + length] - a["_sums"][g]) * a["_inverse"][g]
-                            single = [_mix(whole + _U(1)), _second(group, g, length), cols[2][who], start, np.zeros_like(start), np.zeros_like(start)]
-                        parts.append([c[again] for c in cols[:1]] + [np.zeros(again.sum(), _U)] + [c[again] for c in cols[2:]] + [np.ones(again.sum(), bool)])
-                        parts.append([*single, np.zeros(len(who), bool)])
-                        cols = [c[~is_hot] for c in cols]
-                parts.append([*cols, np.zeros(len(cols[0]), bool)])
-            if not parts:
-                continue
-            h, sh, doc, lo, run_, off, done = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            order = np.lexsort((lo, doc, sh, h, done))
-            h, sh, doc, lo, run_, off, done = [c[order] for c in (h, sh, doc, lo, run_, off, done)]
-            done[1:] |= (h[1:] == h[:-1]) & (sh[1:] == sh[:-1])
-            loc = lo << 16 | run_ << 8 | off
-            # Those that are done are spread over the partitions.
-            spread = np.where(done, _mix(doc.astype(_U)), h)
-            yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(sh.view(np.int64), mask=done), pa.array(doc), pa.array(loc)], names=list(_PACK))
+            docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            for at, end in _groups([len(t) for t in texts], window):
+                yield from work(docs[at:end], texts[at:end])
 
     return run
 
 
-def _meet(length: int):
-    """Rows (h, sh, doc, loc) sorted by h to (h, doc, lo, hi, off): spans that repeat an older equal snippet have off = -1 and hi as
-    their end; the first of each snippet whose h has different snippets goes on with its off and last start."""
-
-    def out(h, doc, lo, hi, off):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64)), pa.array(off.astype(np.int32))], names=["h", "doc", "lo", "hi", "off"])
-
-    def work(h, sh, doc, loc):
-        order = np.lexsort((loc, doc, sh, h))
-        h, sh, doc, loc = h[order], sh[order], doc[order], loc[order]
-        same_h = np.zeros(len(h), bool)
-        same_h[1:] = h[1:] == h[:-1]
-        again = np.zeros(len(h), bool)
-        again[1:] = same_h[1:] & (sh[1:] == sh[:-1])
-        lo, hi, off = loc >> 16, (loc >> 16) + ((loc >> 8) & 255), loc & 255
-        group = np.cumsum(~same_h) - 1
-        distinct = np.bincount(group, weights=~again)[group] if len(h) else np.zeros(0)
-        check = ~again & (distinct > 1)
-        return [out(h[again], doc[again], lo[again], hi[again] + length, np.full(again.sum(), -1)), out(h[check], doc[check], lo[check], hi[check], off[check])]
+def _shared(hot_bytes: int):
+    """Rows of `_snippets` sorted by h to those that go and those whose h has another row; the latter are SINGLES where the snippets of an h
+    have more than hot_bytes together. At most hot_bytes' worth of rows is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, hot = None, None
         for b in batches:
-            done = b.column(1).is_null().to_numpy(zero_copy_only=False)
-            h = b.column(0).to_numpy().view(_U)
-            doc, loc = b.column(2).to_numpy(), b.column(3).to_numpy()
-            sh = b.column(1).fill_null(0).to_numpy(zero_copy_only=False).view(_U)
-            if done.any():
-                lo = loc[done] >> 16
-                yield out(h[done], doc[done], lo, lo + ((loc[done] >> 8) & 255) + length, np.full(done.sum(), -1))
-            now = [c[~done] for c in (h, sh, doc, loc)]
-            held = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
-            if not len(held[0]):
+            columns = [b.column(0).to_numpy().view(_U), *[b.column(i).to_numpy() for i in (1, 2, 3)]]
+            gone = b.column(4).to_numpy() == GONE
+            if gone.any():
+                yield _spans(*[c[gone] for c in columns], GONE)
+                columns = [c[~gone] for c in columns]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            h, doc, lo, hi = columns
+            if not len(h):
                 continue
-            cut = int(np.searchsorted(held[0].view(np.int64), held[0].view(np.int64)[-1]))  # the last h may go on
-            if cut:
-                yield from work(*[c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield from work(*held)
+            if hot is not None:
+                known = h == hot
+                if known.any():
+                    yield _spans(h[known], doc[known], lo[known], hi[known], SINGLES)
+                    h, doc, lo, hi = [c[~known] for c in (h, doc, lo, hi)]
+                    if not len(h):
+                        held = None
+                        continue
+                hot = None
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.add.reduceat(hi - lo, first)
+            rows = np.diff(np.append(first, len(h)))
+            kind = np.where(size > hot_bytes, SINGLES, np.where(rows > 1, MEETS, -1))
+            kind[-1] = SINGLES if size[-1] > hot_bytes else -1  # the last h may go on
+            each = np.repeat(kind, rows)
+            for k in (MEETS, SINGLES):
+                if (each == k).any():
+                    yield _spans(h[each == k], doc[each == k], lo[each == k], hi[each == k], k)
+            if kind[-1] == SINGLES:
+                hot, held = h[-1], None
+            else:
+                held = [c[first[-1] :] for c in (h, doc, lo, hi)]
+        if held is not None and len(held[0]) > 1:
+            yield _spans(*held, MEETS)
 
     return run
 
 
-def _family(length: int, batch_bytes: int = 1 << 18):
-    """Rows (h, doc, lo, off, part) sorted by h, doc, lo to spans (doc, lo, hi) of bytes whose strings are in an older snippet of h."""
+_PARTS = "h bigint, doc bigint, lo bigint, part binary"
 
-    def work(rows: list) -> pa.RecordBatch:
-        family, found, batch, size = SuffixFamily(length), [], [], 0
 
-        def flush() -> None:
-            for (doc, lo, _), hit in zip(batch, family.add([p for _, _, p in batch]), strict=True):
-                starts = np.flatnonzero(hit)
-                if len(starts):
-                    breaks = np.flatnonzero(np.diff(starts) > length)
-                    for a, z in zip(np.append(0, breaks + 1), np.append(breaks, len(starts) - 1), strict=True):
-                        found.append((doc, lo + int(starts[a]), lo + int(starts[z]) + length))
-
-        for _, doc, lo, part in rows:
-            batch.append((doc, lo, part))
-            size += len(part)
-            if size >= batch_bytes:
-                flush()
-                batch, size = [], 0
-        if batch:
-            flush()
-        doc, lo, hi = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc", "lo", "hi"])
+def _cut_parts(length: int):
+    """Arrow batches of (doc, text, wanted) to the wanted parts. SINGLES become their strings one by one, under a hash of their bytes;
+    of equal ones of a batch the oldest stands for all, and the others' bytes go: part is null and h is their end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if size > 4 * batch_bytes and rows[-1][0] != r[0]:  # nothing reaches from one h to the next
-                    yield work(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[3])
-        if rows:
-            yield work(rows)
+            out, singles = [], []
+            for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                data = text.encode()
+                for w in wanted:
+                    if w["kind"] == MEETS:
+                        out.append((w["h"], doc, w["lo"], data[w["lo"] : w["hi"]]))
+                    else:
+                        singles += [(doc, lo, data[lo : lo + length]) for lo in range(w["lo"], w["hi"] - length + 1)]
+            seen: set[bytes] = set()
+            gone = []
+            for doc, lo, part in sorted(singles, key=lambda s: s[:2]):
+                if part in seen:
+                    gone.append((doc, lo))
+                    continue
+                seen.add(part)
+                out.append((int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), doc, lo, part))
+            if gone:
+                doc, lo = np.array(gone, np.int64).T
+                out += [(e, d, s, None) for d, s, e in zip(*[x.tolist() for x in _runs(doc, lo, lo + length)], strict=True)]
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "doc", "lo", "part"])
 
     return run
 
 
-def _cut_parts(length: int):
+def _met(length: int, batch_bytes: int):
+    """Rows (family, doc, lo, part), sorted, to spans (doc, lo, hi) of bytes whose strings are in an older part of the family. Parts go
+    through the family in batches of about `batch_bytes`, oldest first; it keeps what no older part has."""
+
+    def work(family: SuffixFamily, rows: pa.RecordBatch) -> pa.RecordBatch:
+        part = rows.column(3)
+        bounds = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        data = np.frombuffer(part.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        ends = bounds[1:] - bounds[0]
+        starts, again = family.found(data, ends)
+        starts = starts[again]
+        text = np.searchsorted(ends, starts, side="right")
+        text, lo, hi = _runs(text, starts, starts + length)
+        shift = rows.column(2).to_numpy()[text] - (bounds[:-1] - bounds[0])[text]
+        return pa.RecordBatch.from_arrays([pa.array(rows.column(1).to_numpy()[text]), pa.array(lo + shift), pa.array(hi + shift)], names=["doc", "lo", "hi"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, number, held, size = SuffixFamily(length), None, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield work(family, pa.concat_batches(held))
+
         for b in batches:
-            cols = ([], [], [], [])
-            for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = text.encode()
-                for w in wanted:
-                    for c, v in zip(cols, (w["h"], doc, w["lo"], data[w["lo"] : w["hi"] + length]), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["h", "doc", "lo", "part"])
+            numbers = b.column(0).to_numpy()
+            sizes = np.diff(np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset : b.column(3).offset + b.num_rows + 1])
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if numbers[lo] != number:
+                    yield from flush()
+                    family, number, held, size = SuffixFamily(length), numbers[lo], [], 0
+                for at, end in _groups(sizes[lo:hi].tolist(), batch_bytes):
+                    if held and size + int(sizes[lo + at : lo + end].sum()) > batch_bytes:
+                        yield from flush()
+                        held, size = [], 0
+                    held.append(b.slice(lo + at, end - at))
+                    size += int(sizes[lo + at : lo + end].sum())
+        yield from flush()
 
     return run
 
@@ -346,28 +398,46 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], digest], names=[*b.schema.names[:4], "kept_sha256"])
 
 
-def removed_spans(keyed: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
+def removed_spans(keyed: DataFrame, length: int = 100, gram: int = 32, hot_bytes: int = 1 << 20, family_bytes: int = 1 << 20, batch_bytes: int = 1 << 18) -> DataFrame:
     """(doc, lo, hi): byte spans, overlapping ones too, of keyed(doc bigint, unique, text) whose strings start earlier."""
-    spark = keyed.sparkSession
-    # Anchors that very many documents hold, from a sample: this only decides how their snippets travel.
-    none = np.zeros(0, _U)
-    n_docs = keyed.count()
-    share = min(1.0, 2000 / max(1, n_docs))
-    sample = keyed.filter(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    common = sample.mapInArrow(_snippets(length, gram, none), "h bigint, sh bigint, doc bigint, loc bigint").filter("sh is not null")
-    common = common.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= max(10, 0.01 * share * n_docs))
-    hot = np.array([r["h"] for r in common.select("h").collect()], np.int64).view(_U)  # at most 100 for each anchor of a text
-    made = keyed.mapInArrow(_snippets(length, gram, hot), "h bigint, sh bigint, doc bigint, loc bigint")
-    met = made.repartition(partitions(spark), "h").sortWithinPartitions("h")
-    met = written(met.mapInArrow(_meet(length), "h bigint, doc bigint, lo bigint, hi bigint, off int"))
-    check = met.filter("off >= 0").groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("wanted"))
-    parts = keyed.join(check, "doc").select("doc", "text", "wanted").mapInArrow(_cut_parts(length), "h bigint, doc bigint, lo bigint, part binary")
-    parts = parts.repartition(partitions(spark), "h").sortWithinPartitions("h", "doc", "lo")
-    spans = parts.mapInArrow(_family(length), "doc bigint, lo bigint, hi bigint")
-    return met.filter("off < 0").select("doc", "lo", "hi").union(spans)
-
-
-def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest: bool = True) -> DataFrame:
+    if gram & (gram - 1) or not 1 <= gram <= length:
+        raise ValueError("gram is a power of two and at most length")
+    n = partitions(keyed.sparkSession)
+    made = keyed.mapInArrow(_snippets(length, gram), _SPANS)
+    met = written(made.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared(hot_bytes), _SPANS))
+    wanted = met.filter(F.col("kind") != GONE)
+    strings = F.col("hi") - F.col("lo") - (length - 1)
+    size = wanted.agg(F.sum(F.when(F.col("kind") == MEETS, F.col("hi") - F.col("lo")).otherwise(strings * length))).first()[0] or 0
+    check = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "hi", "kind")).alias("wanted"))
+    parts = keyed.join(check, "doc").select("doc", "text", "wanted").mapInArrow(_cut_parts(length), _PARTS)
+    # Equal strings are in parts of one h, so each family is whole. There are at least as many as partitions, of family_bytes at most on the average.
+    family = F.pmod(F.xxhash64("h", F.col("part").isNull()), F.lit(max(n, -(-size // family_bytes)))).alias("family")
+    parts = parts.select(family, "doc", "lo", "part", F.when(F.col("part").isNull(), F.col("h")).alias("end"))
+    dealt = parts.repartition(n, "family").sortWithinPartitions("family", "doc", "lo")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[pa.RecordBatch] = []
+
+        def open_(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches_:
+                gone = b.column(4).is_valid()
+                rows = b.filter(gone)
+                if rows.num_rows:
+                    done.append(pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(4)], names=["doc", "lo", "hi"]))
+                if rows.num_rows < b.num_rows:
+                    yield (b if not rows.num_rows else b.filter(pc.invert(gone))).select([0, 1, 2, 3])
+
+        for out in _met(length, batch_bytes)(open_(batches)):
+            yield out
+            yield from done
+            done.clear()
+        yield from done
+
+    spans = dealt.mapInArrow(run, "doc bigint, lo bigint, hi bigint")
+    return met.filter(F.col("kind") == GONE).select("doc", "lo", "hi").union(spans)
+
+
+def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest: bool = True, **sizes) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs(doc_id, text, ...); with digest=False `kept`, the
     bytes that are left, instead of their SHA-256.
 
@@ -377,11 +447,12 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest:
     in the order of a hash of the text. Extra columns are not read.
 
     1. Every string is assigned to an anchor (see `anchors`); runs of starts with one anchor are snippets, about 3% as many as bytes.
-       Equal snippets are combined in each batch, then snippets meet by anchor hash: an equal one of an older document covers a snippet as a
-       whole. Snippets of anchors that over 1% of a sample hold travel one start at a time, so that no anchor gathers rows:
-       these meet by a hash of all their bytes, and are equal if a second, independent one agrees too.
-    2. Different snippets of one anchor (or of one hash, for single starts), with their bytes, go through the family of suffix arrays (`SuffixFamily`) in the order of
-       age: each batch is sorted, merge-scanned against the levels for matches of `length` bytes, and merged into them.
+       Snippets of a window of texts that are equal byte by byte are combined at once, so a passage that very many documents hold leaves a
+       window once; the others' places are known to go. The rest meets by anchor hash, and snippets that are alone with theirs are done.
+    2. All others go, with their bytes, through families of suffix arrays (`SuffixFamily`), those of one anchor through the same: batch by
+       batch in the order of age, each batch is sorted, merge-scanned against the levels for matches of `length` bytes, and what is
+       new of it is merged into them. Hashes only route; bytes decide. Where the snippets of one anchor exceed `hot_bytes` together,
+       their strings travel one by one and are routed by all of their bytes, so that no family holds an anchor that grows with the corpus.
     3. The spans of each document are cut out of its text.
     """
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
@@ -398,7 +469,7 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest:
         rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), tie, "text").withColumn("copy", F.row_number().over(w))
         back = written(rows.join(rank.select("id", "tie", "copy", F.col("start").alias("doc")), ["id", "tie", "copy"]).select("doc_id", "doc", "text"))
         keyed = back.select("doc", "text")
-    spans = removed_spans(keyed, length, gram).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = removed_spans(keyed, length, gram, **sizes).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = keyed.join(spans, "doc", "left").select("doc", "text", "spans")
     last = "kept_sha256 string" if digest else "kept binary"
     out = rows.mapInArrow(_digested if digest else _remove, f"doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from palimpsest.llm import embeddings, exact_dedup, minhash, substring_dedup
+from palimpsest.llm import embeddings, exact_dedup, minhash
 
 DOCS = "doc_id bigint, text string, keep_id string"
 
@@ -117,42 +117,3 @@ def test_near_vectors(spark):
     assert found >= 0.97 * len(links)
     assert sum(r.component_id == want[r.vec_id] for r in got) >= 0.97 * len(got)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
-
-
-def removed(rows, length):
-    first, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        b = (t or "").encode()
-        cover = np.zeros(len(b), bool)
-        for s in range(len(b) - length + 1):
-            if b[s : s + length] in first:
-                cover[s : s + length] = True
-            first.add(b[s : s + length])
-        runs = int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
-        out.append((i, len(b), int(cover.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~cover].tobytes()).hexdigest()))
-    return out
-
-
-def test_substring_dedup(spark):
-    rng = random.Random(9)
-    passages = ["".join(rng.choices("abcé \n\x00", k=rng.choice([99, 101, 160, 400]))) for _ in range(6)]
-    rows = [(i, "".join(rng.choice([rng.choice(passages), "".join(rng.choices("xyz ñ", k=rng.randint(0, 80)))]) for _ in range(rng.randint(0, 5)))) for i in range(90)]
-    rows += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 300), (204, "a" * 99)]
-    want = removed(rows, 100)
-    got = substring_dedup.substring_dedup(table(spark, rows)).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-    again = substring_dedup.substring_dedup(table(spark, [*rows, (5, rows[5][1]), (202, "a" * 500)])).collect()
-    assert len(again) == len(rows) + 2 and sum(r.n_removed for r in again) >= sum(w[2] for w in want) + 500
-    assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
-
-
-def test_suffix_family_matches_brute_force():
-    rng = random.Random(1)
-    strings = ["".join(rng.choices("ab\x00", k=rng.randint(0, 60))).encode() for _ in range(80)]
-    family, seen = substring_dedup.SuffixFamily(6), set()
-    for lo in range(0, 80, 5):
-        for s, hit in zip(strings[lo : lo + 5], family.add(strings[lo : lo + 5]), strict=True):
-            for i, h in enumerate(hit):
-                assert h == (s[i : i + 6] in seen)
-                seen.add(s[i : i + 6])
-    assert len({level.rank for level in family.levels}) == len(family.levels)
