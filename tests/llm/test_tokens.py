@@ -29,7 +29,7 @@ def libraries():
     return Tokenizer.from_file(tokenizer_file(BYTE)), sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(PIECE))
 
 
-@pytest.mark.parametrize("leaf", [48, 1024])
+@pytest.mark.parametrize("leaf", [8, 48, 512])
 def test_tree_concatenation_gives_the_librarys_ids(libraries, leaf):
     bpe = ByteBpe(tokenizer_file(BYTE), leaf)
     for t in texts():
@@ -39,6 +39,28 @@ def test_tree_concatenation_gives_the_librarys_ids(libraries, leaf):
     assert bpe.joins > 50 and bpe.windows > bpe.joins
 
 
+def test_ordinary_documents_are_joined_from_halves(libraries):
+    """All documents of sf0.01, against the library."""
+    import pyarrow.parquet as pq
+
+    bpe = ByteBpe(tokenizer_file(BYTE))
+    given = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for t, e in zip(given, libraries[0].encode_batch(given, add_special_tokens=False), strict=True):
+        assert bpe.encode(t) == e.ids
+    assert bpe.joins >= len(given)
+
+
+def test_cuts_at_every_place_of_odd_texts(libraries):
+    """Both halves of every cut, joined, are what the library gives for the whole."""
+    bpe = ByteBpe(tokenizer_file(BYTE), 8)
+    for t in ["we're 'sad'' they'll!! don't'", "a  \n \n\n b\t\t c   ", "12３４五 ½x² ١٢", "x\x1c\x85 y\u3000\u3000z\u200b", "ñ漢é😀😀 '😀'", "!?!?'s'!? ...'re"]:
+        data = t.encode()
+        for m in range(1, len(data)):
+            if data[m] & 0xC0 != 0x80:
+                left, right = (bpe.core.encode_ordinary(x.decode()) for x in (data[:m], data[m:]))
+                assert bpe.join(data, 0, m, left, len(data), right)[2] == libraries[0].encode(t, add_special_tokens=False).ids
+
+
 def test_decode_of_any_ids(libraries):
     bpe, rng = ByteBpe(tokenizer_file(BYTE)), random.Random(1)
     for _ in range(200):
