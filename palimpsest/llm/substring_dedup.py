@@ -455,9 +455,10 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest:
        their strings travel one by one and are routed by all of their bytes, so that no family holds an anchor that grows with the corpus.
     3. The spans of each document are cut out of its text.
     """
+    # keyed.doc is declared never null (which it isn't), so that both joins with it share one exchange of the texts.
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
-        keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
+        keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc"), "text")
         back = None
     else:
         tie = F.xxhash64("text").alias("tie")
@@ -468,7 +469,7 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest:
         rank = rank.withColumn("copy", F.row_number().over(w))
         rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), tie, "text").withColumn("copy", F.row_number().over(w))
         back = written(rows.join(rank.select("id", "tie", "copy", F.col("start").alias("doc")), ["id", "tie", "copy"]).select("doc_id", "doc", "text"))
-        keyed = back.select("doc", "text")
+        keyed = back.select(F.coalesce("doc", F.lit(0)).alias("doc"), "text")
     spans = removed_spans(keyed, length, gram, **sizes).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = keyed.join(spans, "doc", "left").select("doc", "text", "spans")
     last = "kept_sha256 string" if digest else "kept binary"
