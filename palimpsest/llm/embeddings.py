@@ -30,10 +30,12 @@ def cross_polytope(x: np.ndarray, tables: int, hashes: int, probes: int, seed: i
     """
     n, dim = x.shape
     d = 1 << max(1, (dim - 1).bit_length())
+    if (2 * d) ** hashes >= 1 << 31:
+        raise ValueError("buckets of vectors as long as these need fewer hashes")
     rng = np.random.default_rng(seed)
     padded = np.zeros((n, d))
     padded[:, :dim] = x
-    out = np.empty((n, tables, 1 + probes), np.int64)
+    out = np.empty((n, tables, 1 + probes), np.int32)
     row = np.arange(n)
     for t in range(tables):
         first, second, loss = [], [], []
@@ -114,6 +116,13 @@ def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         first = new
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Vectors along the last axis, scaled to length 1 in double precision."""
+    x = x.astype(np.float64) + 0.0
+    x = x / np.abs(x).max(axis=-1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+
+
 def count_links(rows: dict[str, np.ndarray], starts: np.ndarray, least: float, wide: int, most: int = 2_000_000) -> pa.RecordBatch:
     """(no, n, null): a row's links that are counted here; (no, null, other): what connects the linked rows.
 
@@ -122,7 +131,7 @@ def count_links(rows: dict[str, np.ndarray], starts: np.ndarray, least: float, w
     """
     no, own, tab, mine, copies = rows["no"], rows["own"].astype(bool), rows["tab"], rows["mine"], rows["copies"]
     sizes = np.diff(np.append(starts, len(no)))
-    dims = np.diff(rows["unit_at"])[starts]
+    dims = np.diff(rows["vector_at"])[starts]
     code = rows["buckets"].reshape(len(no), -1, wide)
     links, a_all, b_all = np.zeros(len(no), np.int64), [], []
 
@@ -149,7 +158,7 @@ def count_links(rows: dict[str, np.ndarray], starts: np.ndarray, least: float, w
         each = max(1, most // (n * max(n, d)))
         for lo in range(0, len(group), each):
             at = group[lo : lo + each, None] + np.arange(n)
-            u = rows["unit"][rows["unit_at"][at][:, :, None] + np.arange(d)]
+            u = units(rows["vector"][rows["vector_at"][at][:, :, None] + np.arange(d)])
             near = np.matmul(u, u.transpose(0, 2, 1)) >= least
             near &= own[at][:, :, None] | own[at][:, None, :]
             # Two blocks' rows meet across; those of one block meet in its own group.
@@ -183,7 +192,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 12, hash
     2. Every class goes to its own bucket in each table and looks into `probes` more (probes <= hashes). Only ids are dealt out; buckets
        without two classes end here, and classes left in none never move their vectors.
     3. Each bucket is cut into blocks of about `block` rows, and each two blocks meet in one group, which is multiplied; a task takes
-       its many small groups together. A pair is
+       its many small groups together. Vectors travel as they are given and are scaled in double precision where they meet. A pair is
        counted in the first table that brings it together, found from both sides' bucket numbers, so no list of pairs is made: a
        task gives a number for each row and the links that connect it.
     """
@@ -193,31 +202,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 12, hash
 
         for b in batches:
             label = b.column(2)
-            keys, unit, buckets = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
+            keys, buckets = [None] * b.num_rows, [None] * b.num_rows
             by_dim: dict[int, list] = {}
             for i, v in enumerate(b.column(1)):
                 if not v.is_valid or not label[i].is_valid or not len(v) or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all() and x.any():
-                    x = x + 0.0
-                    keys[i] = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                    scaled = x / np.abs(x).max()
-                    by_dim.setdefault(len(x), []).append((i, scaled / np.sqrt((scaled * scaled).sum())))
+                    keys[i] = hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest()
+                    by_dim.setdefault(len(x), []).append((i, x))
             for group in by_dim.values():
-                u = np.stack([x for _, x in group])
-                codes = cross_polytope(u, tables, hashes, probes, seed).reshape(len(u), -1)
-                for (i, x), c in zip(group, codes, strict=True):
-                    unit[i], buckets[i] = x, c
-            yield pa.RecordBatch.from_arrays([b.column(0), label, pa.array(keys, pa.binary()), pa.array(unit, pa.list_(pa.float64())), pa.array(buckets, pa.list_(pa.int64()))], names=["vec_id", "label", "key", "unit", "buckets"])
+                codes = cross_polytope(units(np.stack([x for _, x in group])), tables, hashes, probes, seed).reshape(len(group), -1)
+                for (i, _), c in zip(group, codes, strict=True):
+                    buckets[i] = c
+            yield pa.RecordBatch.from_arrays([b.column(0), label, pa.array(keys, pa.binary()), b.column(1), pa.array(buckets, pa.list_(pa.int32()))], names=["vec_id", "label", "key", "vector", "buckets"])
 
-    kind = vectors.schema["label"].dataType.simpleString()
+    kind, given = vectors.schema["label"].dataType.simpleString(), vectors.schema["embedding"].dataType.simpleString()
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", "label")
-    ready = vectors.mapInArrow(prepare, f"vec_id bigint, label {kind}, key binary, unit array<double>, buckets array<bigint>")
+    ready = vectors.mapInArrow(prepare, f"vec_id bigint, label {kind}, key binary, vector {given}, buckets array<int>")
     ready = written(ready)
-    classes = ready.filter("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.first("buckets").alias("buckets"))
+    classes = ready.filter("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("buckets").alias("buckets"))
     # Class numbers are their own: vec_id may repeat.
-    classes = written(classes.withColumn("no", F.monotonically_increasing_id()).withColumn("space", F.xxhash64("label", F.size("unit"))))
+    classes = written(classes.withColumn("no", F.monotonically_increasing_id()).withColumn("space", F.xxhash64("label", F.size("vector"))))
     wide = 1 + probes
     placed = classes.select("no", "space", F.posexplode("buckets").alias("at", "code"))
     placed = placed.select("no", F.xxhash64("space", F.floor(F.col("at") / wide), "code").alias("bucket"), F.floor(F.col("at") / wide).cast("int").alias("tab"), (F.col("at") % wide == 0).alias("own"))
@@ -230,14 +236,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 12, hash
     rows = rows.select("bucket", "tab", "no", "own", blocks.alias("blocks"), F.pmod(F.xxhash64("no"), blocks).cast("int").alias("mine"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("bucket", "tab", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "no", "own")
-    rows = rows.join(classes.select(F.col("no").alias("_no"), "space", "copies", "unit", "buckets"), F.col("no") == F.col("_no")).drop("_no")
+    rows = rows.join(classes.select(F.col("no").alias("_no"), "space", "copies", "vector", "buckets"), F.col("no") == F.col("_no")).drop("_no")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_, starts in whole_groups(batches, 5):
             yield count_links(rows_, starts, least, wide)
 
     order = ["bucket", "tab", "p", "q", "space"]
-    dealt = rows.select(*order, "mine", "no", "own", "copies", "unit", "buckets").repartition("bucket", "tab", "p", "q").sortWithinPartitions(*order, "no")
+    dealt = rows.select(*order, "mine", "no", "own", "copies", "vector", "buckets").repartition("bucket", "tab", "p", "q").sortWithinPartitions(*order, "no")
     met = written(dealt.mapInArrow(compare, "no bigint, n bigint, other bigint"))
     links = met.filter("other is null").groupBy(F.col("no").alias("l_no")).agg(F.sum("n").alias("linked"))
     found = components(met.filter("other is not null").select(F.col("no").alias("a"), F.col("other").alias("b")))
