@@ -12,16 +12,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: A key is hot when it holds at least one HOT-th of all rows: there are at most HOT such keys.
 HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset and all runs on one machine (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark, "_palimpsest_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="palimpsest-")
@@ -73,9 +76,7 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str) -> Data
     Groups compare by code point, null last. The result is a written table.
     """
     spark = df.sparkSession
-    schema = df.schema.simpleString()[7:-1]  # struct<...>
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    del schema
+    schema = StructType([*df.schema.fields, StructField("_local", LongType()), StructField("_pid", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -97,7 +98,7 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts), pa.array(np.full(len(sizes), pid, np.int32))], names=[*b.schema.names, "_local", "_pid"])
 
     keys = [F.col(group).asc_nulls_last(), *order]
-    local = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{fields}, _local bigint, _pid int")
+    local = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
     local = written(local)
     sums = local.groupBy("_pid", group).agg(F.sum(value).alias("n")).collect()
     offsets, totals = [], {}
@@ -109,6 +110,22 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str) -> Data
     return local.join(F.broadcast(table), on).select(*df.columns, (F.col("_local") + F.col("_before")).alias("start"))
 
 
+def odd_ids(docs: DataFrame) -> bool:
+    """Whether doc_id fails to name the rows of docs: it repeats or is null somewhere."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+
+
+def ranked(docs: DataFrame, nulls_first: bool) -> DataFrame:
+    """(row bigint, data struct of docs' columns): docs(doc_id, text, ...) numbered from 0 by doc_id, then by a hash of the text.
+
+    Rows that agree in both are numbered in any order, once and for all.
+    """
+    missing = F.lit(-(1 << 63) if nulls_first else (1 << 63) - 1)
+    data = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("data")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), missing).alias("id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("at"), F.lit(0).alias("all"), F.lit(1).cast("bigint").alias("one"), data)
+    return prefix_sums(rows, "all", ["id", "tie", "at"], "one").select(F.col("start").alias("row"), "data")
+
+
 def _forest(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The edges (a, b) of a task as stars (node, smallest node it reaches here), `most` nodes at a time."""
     parent: dict[int, int] = {}

@@ -130,14 +130,13 @@ class ByteGru:
         return total / np.maximum(lengths, 1)[:, None]
 
 
-def learn_languages(docs: DataFrame, sample: int = 4096, stretch: int = 128, steps: int = 400, most_classes: int = 256, seed: int = 0) -> ByteGru | None:
+def learn_languages(docs: DataFrame, sample: int = 4096, stretch: int = 128, steps: int = 400, seed: int = 0) -> ByteGru | None:
     """A ByteGru from docs(doc_id, text, lang); rows with null lang or no text are passed over. None if none is left.
 
-    At most `sample` stretches of `stretch` bytes are looked at, shared evenly among the languages (the `most_classes`
-    most frequent ones), one for each of a language's documents with the smallest hashes of doc_id, from a place that the hash gives.
+    At most `sample` stretches of `stretch` bytes are looked at, shared evenly among the languages (one for each at least), one for each of a language's documents with the smallest hashes of doc_id, from a place that the hash gives.
     """
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_classes).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return None
     each = max(1, sample // len(counts))
@@ -146,7 +145,7 @@ def learn_languages(docs: DataFrame, sample: int = 4096, stretch: int = 128, ste
     chosen = known.filter(hashed <= below[F.col("lang")])
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - stretch // 2, F.lit(1)))
     chosen = chosen.select("lang", hashed.alias("h"), F.substring(F.col("text"), (at + 1).cast("int"), F.lit(stretch)).alias("part"))
-    rows = chosen.orderBy("h", "part").limit(2 * sample).collect()
+    rows = chosen.orderBy("h", "part").limit(2 * max(sample, len(counts))).collect()
     classes = sorted(counts)
     x, y, taken = [], [], dict.fromkeys(classes, 0)
     for r in rows:

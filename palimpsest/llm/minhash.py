@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, documents, hot_safe_join, written
+from .common import components, documents, hot_safe_join, odd_ids, partitions, ranked, written
 
 _U = np.uint64
 
@@ -202,21 +202,31 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     """(doc_id, component_id, group_size, kept) for every row of docs(doc_id, text, ...).
 
     Two documents are linked when the weighted Jaccard similarity of their multisets of `words`-word shingles is `least` or more;
-    component_id is the smallest doc_id that links reach, and that row is kept. Texts of fewer words are one shingle; empty, blank and
-    null texts have none and are linked with nothing. Rows that repeat a doc_id are one document, and each gets its row. Rows
-    with equal multisets are one class from the start and are not compared. Extra columns are not read.
+    component_id is the smallest doc_id that links reach, and one row of it is kept. Texts of fewer words are one shingle; empty, blank and
+    null texts have none and are linked with nothing. Rows that repeat a doc_id, or have none, are documents of their own (without a
+    doc_id they come last; component_id is null where no row of a component has one). Rows with equal multisets are one class from the
+    start and are not compared. Very long texts are read whole, in a part of their own. Extra columns are not read; an empty table gives
+    an empty result.
 
     1. One pass makes BagMinHash signatures of `size` components and size / rows band keys.
-    2. Each band's bucket has a leader, its smallest class; all others whose signatures agree with its in 0.6 of the components are
+    2. Each band's bucket has a leader, its smallest class; all others whose signatures agree with its in half of the components are
        compared with it, on their full multisets.
     3. Links give components. Buckets that still hold several components are cut into blocks of `block` rows, and each two blocks
-       meet in a task: first with signatures alone, to find the rows that agree with one of another component in 0.6 of them and meets it in no earlier band, then
+       meet in a task: first with signatures alone, to find the rows that agree with one of another component in half of them and meets it in no earlier band, then
        those rows with their multisets, which are compared unless they are connected by then. So every pair that shares a bucket is
-       linked, connected already, or compared (a pair of similarity 0.8 has too few equal components with probability 0.0001).
+       linked, connected already, or compared (a pair of similarity 0.8 has too few equal components with probability 1e-7).
     Hot leaders and buckets are spread over tasks; no task gathers a bucket.
     A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^4)^16, about 0.0002.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if odd_ids(docs):
+        numbered = ranked(docs, nulls_first=False)
+        found = near_dedup(numbered.select(F.col("row").alias("doc_id"), "data.text"), words, least, size, rows, block)
+        found = written(found.withColumnRenamed("doc_id", "row"))
+        first = numbered.select(F.col("row").alias("component_id"), F.col("data.doc_id").alias("first_id"))
+        first = written(first.join(found.filter("kept").select("component_id", "group_size"), "component_id"))
+        found = hot_safe_join(found.drop("group_size"), first, ["component_id"], "group_size", found.count())
+        return found.join(numbered.select("row", "data.doc_id"), "row").select("doc_id", F.col("first_id").alias("component_id"), "group_size", "kept")
     schema = "doc_id bigint, full boolean, d0 bigint, d1 bigint, sign array<smallint>, bands array<bigint>"
     signed = written(docs.mapInArrow(_signatures(words, size, rows), schema))
     classes = written(signed.filter("full").groupBy("d0", "d1").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sign").alias("sign"), F.first("bands").alias("bands")))
@@ -244,7 +254,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
         return both.join(heads, (F.col("leader") == F.col("_l")) & (F.col("deal") == F.col("_d"))).drop("_l", "_d")
 
     signs = classes.select(F.col("class_id").alias("_id"), "sign", "bands")
-    likely = round(0.6 * size)
+    likely = size // 2
     hopeful = meet(dealt, signs.drop("bands"), ["sign"]).filter(f"size(filter(zip_with(sign, l_sign, (x, y) -> x = y), same -> same)) >= {likely}")
     hopeful = written(hopeful.select("leader", "member", "deal"))
     pairs = meet(hopeful, bags.withColumnRenamed("doc_id", "_id"), ["bag", "n"]).select("leader", "member", "l_bag", "l_n", "bag", "n")
@@ -297,7 +307,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
         return rows_.loc[found_, ["key", "band", "class_id", "component"]]
 
     flagged = blocked(rest).join(signs, F.col("class_id") == F.col("_id")).drop("_id")
-    flagged = flagged.groupBy("key", "p", "q").applyInPandas(flag, "key bigint, band int, class_id bigint, component bigint")
+    # Dealt to all partitions: these are few bytes and much work, which Spark would gather in a few tasks.
+    flagged = flagged.repartition(partitions(docs.sparkSession), "key", "p", "q").groupBy("key", "p", "q").applyInPandas(flag, "key bigint, band int, class_id bigint, component bigint")
     flagged = written(flagged.distinct())
     counted = written(flagged.groupBy("key").agg(F.count("*").alias("n")))
     flagged = hot_safe_join(flagged, counted, ["key"], "n", counted.agg(F.sum("n")).first()[0] or 0)
@@ -323,6 +334,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
                     out.append((int(comp[i]), int(comp[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    rest = rest.repartition(partitions(docs.sparkSession), "key", "p", "q")
     more = written(rest.groupBy("key", "p", "q").applyInPandas(compare, "a bigint, b bigint"))
     # The new links are between components: theirs are found apart, and the two steps composed.
     steps = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
@@ -340,7 +352,7 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     out = hot_safe_join(keyed, by_class, ["d0", "d1"], "copies", total)
     linked = F.col("full") & F.col("component_id").isNotNull()
     component = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", component.alias("component_id"), F.when(linked, F.col("group_size")).otherwise(F.lit(1)).cast("bigint").alias("group_size"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", component.alias("component_id"), F.when(linked, F.col("group_size")).otherwise(F.lit(1)).cast("bigint").alias("group_size"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

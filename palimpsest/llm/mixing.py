@@ -162,7 +162,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document that a pass takes as a whole keeps its text as it is; of others the taken stretches of the text are joined by line
     feeds. n_chars, where it is a column, is counted anew. A document taken in several passes gives a row for each; one
-    that is not taken gives none. Of rows that agree in doc_id and text one is cut for all of them.
+    that is not taken gives none. Of rows that agree in doc_id and text one is cut for all of them. Columns may have any names; null
+    sources are a source, documents without words are in no mix, an empty table gives an empty mix.
     """
     import re
 
@@ -187,11 +188,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         return pd.Series(out)
 
     parts = mix.parts().select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "parts", "size")
-    one = docs.withColumn("_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_tie"])
-    rows = one.join(parts.hint("merge"), one.doc_id.eqNullSafe(parts._d) & (one._tie == parts._t)).withColumn("text", cut("text", "parts", "size"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    one = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("data"))
+    one = one.dropDuplicates(["_id", "_tie"])
+    rows = one.join(parts.hint("merge"), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")))
+    rows = rows.select("data", cut("data.text", "parts", "size").alias("cut"))
+    made = {"text": F.col("cut"), "n_chars": F.length("cut")}
+    return rows.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(f"data.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix_shards(docs: DataFrame, **options) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, prefix_sums, written
+from .common import documents, odd_ids, partitions, ranked, written
 
 _U = np.uint64
 _M = 0x9E3779B97F4A7C15
@@ -456,27 +456,16 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = 32, digest:
     3. The spans of each document are cut out of its text.
     """
     # keyed.doc is declared never null (which it isn't), so that both joins with it share one exchange of the texts.
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc"), "text")
-        back = None
-    else:
-        tie = F.xxhash64("text").alias("tie")
-        rank = prefix_sums(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), tie, F.lit(0).alias("all"), F.lit(1).cast("bigint").alias("one")), "all", ["id", "tie"], "one")
-        from pyspark.sql import Window as W
-
-        w = W.partitionBy("id", "tie").orderBy(F.lit(0))
-        rank = rank.withColumn("copy", F.row_number().over(w))
-        rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), tie, "text").withColumn("copy", F.row_number().over(w))
-        back = written(rows.join(rank.select("id", "tie", "copy", F.col("start").alias("doc")), ["id", "tie", "copy"]).select("doc_id", "doc", "text"))
-        keyed = back.select(F.coalesce("doc", F.lit(0)).alias("doc"), "text")
+    back = ranked(docs.select("doc_id", "text"), nulls_first=True) if odd_ids(docs) else None
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text") if back is None else back.select(F.col("row").alias("doc"), "data.text")
+    keyed = keyed.withColumn("doc", F.coalesce("doc", F.lit(0)))
     spans = removed_spans(keyed, length, gram, **sizes).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = keyed.join(spans, "doc", "left").select("doc", "text", "spans")
     last = "kept_sha256 string" if digest else "kept binary"
     out = rows.mapInArrow(_digested if digest else _remove, f"doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")
     if back is None:
         return out.withColumnRenamed("doc", "doc_id")
-    return out.join(back.select("doc", "doc_id"), "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0])
+    return out.join(back.select(F.col("row").alias("doc"), "data.doc_id"), "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0])
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

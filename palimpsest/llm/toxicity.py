@@ -128,14 +128,14 @@ def _features(text: str, prefix: tuple[int, int]) -> Counter:
     return out
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, prefix: tuple[int, int] = (4, 9), most_terms: int = 20_000, least: float = 2.0) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, prefix: tuple[int, int] = (4, 9), least: float = 2.0) -> Lexicon:
     """A Lexicon from docs(doc_id, text) and labels(doc_id, toxic 0/1; others are passed over).
 
     `sample` bounds the labelled rows that are looked at: half of them toxic, chosen by a hash of doc_id. Terms are
     whole words and word starts of prefix[0] to prefix[1] letters that occur in the toxic texts at least once for every 250 of
     them (3 times at least); a term's weight is the log-ratio of its rates for each text between the classes, less one
-    standard error, and must reach `least`. Copies of a text count once. `most_terms` bounds the candidates (the most frequent
-    ones) that are counted in the other class. With no toxic label, or no other, the seed terms and scale remain.
+    standard error, and must reach `least`. Copies of a text count once. The sample bounds what the driver holds: terms that so many of its
+    texts have. With no toxic label, or no other, the seed terms and scale remain.
     """
     spark = docs.sparkSession
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -151,7 +151,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pref
     chosen = written(chosen.withColumn("same", F.xxhash64("text")).groupBy("same", "toxic").agg(F.first("text").alias("text")))
 
     def count(rows: DataFrame, among: frozenset | None) -> dict[str, tuple[int, int]]:
-        wanted = spark.sparkContext.broadcast(among)  # at most most_terms strings
+        wanted = spark.sparkContext.broadcast(among)  # terms that 1 in 250 of the sample's toxic texts have
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, keep = Counter(), wanted.value
@@ -164,7 +164,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pref
         totals = rows.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
         if among is None:
             least_n = max(3, 0.004 * share[1] * counts[1])
-            totals = totals.filter(F.col("n") >= least_n).orderBy(F.desc("n"), "term").limit(most_terms + 1)
+            totals = totals.filter(F.col("n") >= least_n)
         return {r["term"]: r["n"] for r in totals.collect()}
 
     bad = count(chosen.filter("toxic = 1"), None)
@@ -219,8 +219,8 @@ def score_udf(lexicon: Lexicon):
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs(doc_id, text, ...): the whole text's score from 0 to 1.
 
-    Null and empty texts have no hits and score lowest. Repeated rows are scored each for itself; extra columns are not
-    read. One pass, no shuffle.
+    Null and empty texts have no hits and score lowest. Very long texts are scored whole, their hits counting by the word. Repeated rows
+    are scored each for itself; extra columns are not read; an empty table gives an empty result. One pass, no shuffle.
     """
     plain = Lexicon(lexicon.terms, lexicon.exceptions, lexicon.middle, lexicon.steep)
 

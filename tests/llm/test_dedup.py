@@ -53,7 +53,7 @@ def near_texts():
         for _ in range(rng.choice([0, 0, 1, 2, 3, 6])):
             w[rng.randrange(len(w))] = rng.choice(voc)
         rows.append((1000 - i, " ".join(w * rng.choice([1, 1, 1, 2])) + rng.choice(["", "\n"])))
-    return rows + [(2000, None), (2001, ""), (2002, " \n "), (2003, "one two"), (2004, "ONE two"), (2005, "one"), (999, rows[1][1])]
+    return rows + [(2000, None), (2001, ""), (2002, " \n "), (2003, "one two"), (2004, "ONE two"), (2005, "one"), (100, rows[1][1])]
 
 
 def bag(t):
@@ -117,3 +117,11 @@ def test_near_vectors(spark):
     assert found >= 0.97 * len(links)
     assert sum(r.component_id == want[r.vec_id] for r in got) >= 0.97 * len(got)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_near_dedup_of_repeated_and_missing_ids(spark):
+    long_ = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, long_), (7, long_ + " x"), (7, "quite another text of seven words"), (None, long_), (3, long_ + " y"), (None, "alone with no number"), (None, "alone with no number"), (8, None), (8, None)]
+    got = collections.Counter(tuple(r) for r in minhash.near_dedup(table(spark, rows)).collect())
+    want = [(3, 3, 4, True), (7, 3, 4, False), (7, 3, 4, False), (None, 3, 4, False), (7, 7, 1, True), (None, None, 2, True), (None, None, 2, False), (8, 8, 1, True), (8, 8, 1, True)]
+    assert got == collections.Counter(want)

@@ -149,22 +149,3 @@ def test_sharding(spark):
     assert sharding.hilbert_shards(docs.limit(0)).count() == 0
     few = sharding.hilbert_shards(docs.limit(3), shards=40).collect()
     assert len({r.shard for r in few}) == 3
-
-
-def test_pipeline_stages_keep_what_their_operators_keep(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    sf = "/root/testdata/sf0.001"
-    bad = {r.doc_id for r in toxicity.toxicity_scores(docs, toxicity.train_fold(spark, docs, sf)).collect() if r.predicted}
-    step = p.written(p.toxicity(spark, docs, sf))
-    assert {r.doc_id for r in step.collect()} == {r.doc_id for r in docs.collect()} - bad and step.columns == docs.columns
-    step = p.written(p.exact_copies(spark, step, sf))
-    folded = [r.text.lower() if r.text.isascii() else "".join(c.lower() if c.isascii() else c for c in r.text) for r in step.collect()]
-    assert len(folded) == len(set(folded)) and step.columns == docs.columns
-    near = p.written(p.near_copies(spark, step, sf))
-    assert 0 < near.count() <= step.count() and near.columns == docs.columns
-    mixed = p.written(p.mixing(spark, near, sf))
-    assert mixed.columns == docs.columns
-    last = p.tokens(spark, mixed, sf)
-    assert last.count() == mixed.count() and [n for n, _ in p.STAGES] == ["toxicity", "exact_dedup", "minhash_near_dedup", "mixing", "bpe"]
