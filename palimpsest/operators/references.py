@@ -50,18 +50,18 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(item_id, component): the smallest id that edges (a, b) connect each node with."""
+    """(item_id, component): the smallest id that edges (a, b) connect each node with; ids may be of any type that has an order."""
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = _cut(spark, both)
     labels = _cut(spark, both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")))
     while True:
-        seen = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        before = labels
         near = attached(both, labels.withColumnRenamed("a", "b"), "b", "a").groupBy("a").agg(F.min("component").alias("c"))
         labels = labels.join(near, "a").select("a", F.least("component", "c").alias("component"))
         jump = labels.select(F.col("a").alias("component"), F.col("component").alias("c"))
         labels = _cut(spark, attached(labels, jump, "component", "a").select("a", F.least("component", "c").alias("component")))
-        if labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0] == seen:
+        if labels.exceptAll(before.select(*labels.columns)).isEmpty():
             return labels.withColumnRenamed("a", "item_id")
 
 

@@ -16,8 +16,13 @@ class Query:
     def compile(self, items: DataFrame, closure: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def tally(self, closure: DataFrame) -> Column | None:
+        """The count as an aggregate over all items, so that they are rendered once for all parts; None if rows must be looked at."""
+        return None
+
     def count(self, items: DataFrame, closure: DataFrame) -> DataFrame:
-        return self.compile(items, closure).agg(F.count("*").alias("n"))
+        tally = self.tally(closure)
+        return (self.compile(items, closure).agg(F.count("*").alias("n"))) if tally is None else items.agg(tally.cast("bigint").alias("n"))
 
     def __add__(self, other: Query) -> Query:
         return Plus(self, other)
@@ -40,6 +45,13 @@ class Items(Query):
             items = items.filter(F.col("item_id") == self.item_id)
         return items if self.item_class is None else of_type(items, closure, self.item_class)
 
+    def tally(self, closure: DataFrame) -> Column:
+        mine = F.lit(True) if self.item_id is None else F.col("item_id") == self.item_id
+        if self.item_class is not None:
+            subtypes = [r["sub"] for r in closure.filter(F.col("super") == self.item_class).collect()]  # declared types
+            mine &= F.col("item_class").isin(subtypes)
+        return F.count(F.when(mine, 1))
+
 
 class Point(Query):
     """A constant row."""
@@ -50,6 +62,9 @@ class Point(Query):
     def compile(self, items: DataFrame, closure: DataFrame) -> DataFrame:
         return items.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in self.values.items()])
 
+    def tally(self, closure: DataFrame) -> Column:
+        return F.lit(1)
+
     def count(self, items: DataFrame, closure: DataFrame) -> DataFrame:
         return items.sparkSession.range(1).select(F.lit(1).cast("bigint").alias("n"))
 
@@ -60,6 +75,9 @@ class Nothing(Query):
     def compile(self, items: DataFrame, closure: DataFrame) -> DataFrame:
         return items.limit(0)
 
+    def tally(self, closure: DataFrame) -> Column:
+        return F.lit(0)
+
     def count(self, items: DataFrame, closure: DataFrame) -> DataFrame:
         return items.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n"))
 
@@ -77,7 +95,13 @@ class Plus(Query):
             return self.left.compile(items, closure)
         return self.left.compile(items, closure).unionByName(self.right.compile(items, closure))
 
+    def tally(self, closure: DataFrame) -> Column | None:
+        left, right = self.left.tally(closure), self.right.tally(closure)
+        return None if left is None or right is None else left + right
+
     def count(self, items: DataFrame, closure: DataFrame) -> DataFrame:
+        if self.tally(closure) is not None:
+            return super().count(items, closure)
         return self.left.count(items, closure).union(self.right.count(items, closure)).agg(F.sum("n").alias("n"))
 
 
@@ -90,6 +114,9 @@ class Map(Query):
     def compile(self, items: DataFrame, closure: DataFrame) -> DataFrame:
         return self.of.compile(items, closure).select(*[c.alias(n) for n, c in self.columns.items()])
 
+    def tally(self, closure: DataFrame) -> Column | None:
+        return self.of.tally(closure)
+
     def count(self, items: DataFrame, closure: DataFrame) -> DataFrame:
         return self.of.count(items, closure)
 
@@ -107,8 +134,12 @@ class Product(Query):
         b = b.select(F.struct(*[F.col(c) for c in b.columns]).alias("right"))
         return a.crossJoin(b) if self.on is None else a.join(b, self.on(F.col("left"), F.col("right")))
 
+    def tally(self, closure: DataFrame) -> Column | None:
+        left, right = self.left.tally(closure), self.right.tally(closure)
+        return None if self.on is not None or left is None or right is None else left * right
+
     def count(self, items: DataFrame, closure: DataFrame) -> DataFrame:
-        if self.on is not None:
+        if self.on is not None or self.tally(closure) is not None:
             return super().count(items, closure)
         both = self.left.count(items, closure).select(F.col("n").alias("a")).crossJoin(self.right.count(items, closure))
         return both.select((F.col("a") * F.col("n")).alias("n"))

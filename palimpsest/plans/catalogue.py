@@ -52,11 +52,14 @@ class Context:
     def typed(self) -> DataFrame:
         return lifecycles.lifecycles(types.with_family(self.in_force, self.closure), ("item_id", "family"))
 
+    def live(self, when=WHEN) -> DataFrame:
+        """Updates up to `when` of the typed items that are alive then."""
+        return fold.alive(measurements.updates(self.typed, item=("item_id", "family")), self.typed, when, ("item_id", "family"))
+
     def items(self, when=WHEN) -> DataFrame:
         """(item_id, family, lifecycle, item_class): items alive at `when`, each with its lifecycle's most derived class."""
         item = ("item_id", "family")
-        live = fold.alive(measurements.updates(self.typed, item=item), types.with_family(self.in_force, self.closure), when, item)
-        return live.select(*item, "lifecycle").distinct().join(types.bounds(self.typed, self.closure), [*item, "lifecycle"]).select(*item, "lifecycle", F.col("lower_class").alias("item_class"))
+        return self.live(when).select(*item, "lifecycle").distinct().join(types.bounds(self.typed, self.closure), [*item, "lifecycle"]).select(*item, "lifecycle", F.col("lower_class").alias("item_class"))
 
 
 R_SQL = "(SELECT CAST(floor(max(event_id)/10*0.7) AS INT) FROM events)"
@@ -272,6 +275,64 @@ def snapshot_store_asof(c: Context) -> DataFrame:
     return snapshots.as_of(snap, times, upto)
 
 
+_SNAPS = f"""log_snap AS (SELECT user_id AS item_id, {DERIVED["item_class"]} AS item_class, CAST(floor(event_id / 2) AS BIGINT) AS k, CAST(event_id % 3 AS INT) AS sr,
+ CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS state FROM events),
+log_times AS (SELECT k, max(sr) AS sr FROM log_snap WHERE k <= (SELECT max(event_id) / 3 FROM events) GROUP BY k),
+slice AS (SELECT item_id, item_class, state FROM (SELECT s.*, row_number() OVER (PARTITION BY item_id, item_class ORDER BY s.k DESC) AS r FROM log_snap s JOIN log_times t ON s.k = t.k AND s.sr = t.sr) x WHERE r = 1 AND state IS NOT NULL)"""
+
+
+def _typed_slice(c: Context) -> DataFrame:
+    """The slice of snapshots of the derived items, each under its class."""
+    events = table(c.spark, c.sf_dir, "events")
+    state = F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("state")
+    snap = events.select(F.col("user_id").alias("item_id"), F.expr(DERIVED["item_class"]).alias("item_class"), F.floor(F.col("event_id") / 2).alias("key"), (F.col("event_id") % 3).cast("int").alias("store_revision"), state)
+    return snapshots.as_of(snap, snap.select("key", "store_revision"), events.agg(F.max("event_id") / 3).first()[0])
+
+
+@query(f"WITH {_SNAPS} SELECT * FROM slice WHERE item_class IN ('Account', 'Premium')")
+def snapshot_by_class(c: Context) -> DataFrame:
+    """Items of a slice of snapshots by class, subtypes included."""
+    return snapshots.of_class(_typed_slice(c), c.closure, "Account")
+
+
+@query(f"WITH {_SNAPS} SELECT item_id, count(*) AS n FROM slice GROUP BY item_id HAVING count(*) > 1")
+def snapshot_not_unique(c: Context) -> DataFrame:
+    """Ids that a query for one item of class Entity must refuse: several items of the slice have them."""
+    return snapshots.not_unique(_typed_slice(c), c.closure, "Entity")
+
+
+_LINEAGE = """WITH top AS (SELECT max(event_id) AS m FROM events),
+snap AS (SELECT 'main' AS lineage, user_id AS item_id, event_type AS item_class, CAST(floor(event_id / 2) AS BIGINT) AS k, CAST(event_id % 3 AS INT) AS sr, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS state FROM events
+ UNION ALL SELECT 'fork', user_id, event_type, CAST(floor(event_id / 2) AS BIGINT), CAST(event_id % 2 AS INT), -value FROM events WHERE event_id % 5 = 0),
+seen AS (SELECT *, CASE WHEN lineage = 'fork' THEN 1 ELSE 0 END AS place FROM snap, top WHERE lineage = 'fork' OR (sr <= 1 AND k <= m / 4)),
+times AS (SELECT k, max(place * 10 + sr) AS v FROM seen WHERE k <= m / {part} GROUP BY k),
+valid AS (SELECT s.*, row_number() OVER (PARTITION BY item_id, item_class ORDER BY s.k DESC) AS r FROM seen s JOIN times t ON s.k = t.k AND place * 10 + sr = v)
+SELECT item_id, item_class, state FROM valid WHERE r = 1 AND state IS NOT NULL"""
+
+
+def _forked_slice(c: Context, part: int) -> DataFrame:
+    """A slice of a store that was forked at its revision 1 and a key, and records every fifth event anew with the opposite sign."""
+    events = table(c.spark, c.sf_dir, "events")
+    last = events.agg(F.max("event_id")).first()[0]
+    common = [F.col("user_id").alias("item_id"), F.col("event_type").alias("item_class"), F.floor(F.col("event_id") / 2).alias("key")]
+    main = events.select(F.lit("main").alias("lineage"), *common, (F.col("event_id") % 3).cast("int").alias("store_revision"), F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("state"))
+    fork = events.filter("event_id % 5 = 0").select(F.lit("fork").alias("lineage"), *common, (F.col("event_id") % 2).cast("int").alias("store_revision"), (-F.col("value")).alias("state"))
+    both = main.union(fork)
+    return snapshots.lineage_as_of(both, both.select("lineage", "key", "store_revision"), [("main", 1, last / 4), ("fork", None, None)], last / part)
+
+
+@query(_LINEAGE.format(part=3))
+def snapshot_lineage_asof(c: Context) -> DataFrame:
+    """A forked store beyond the key of the fork: the newest lineage dominates."""
+    return _forked_slice(c, 3)
+
+
+@query(_LINEAGE.format(part=8))
+def fork_of_snapshots(c: Context) -> DataFrame:
+    """A forked store before the key of the fork: the base's snapshots under the fork's."""
+    return _forked_slice(c, 8)
+
+
 # Types
 
 
@@ -334,13 +395,17 @@ def number_of_product(c: Context) -> DataFrame:
     return (algebra.Items("Entity").ap(algebra.Items("Package")) + algebra.Point(value=1)).count(c.items(), c.closure)
 
 
-@query("""WITH owed AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
-SELECT c_mktsegment, count(*) AS customers, round(sum(total), 2) AS uncovered FROM customer JOIN owed ON c_custkey = o_custkey WHERE c_acctbal < total GROUP BY c_mktsegment""")
+@query(f"""{TYPED}, last AS (SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY u.item_id, u.family, u.lifecycle, u.method ORDER BY anchor_when DESC, anchor_rev DESC, anchor_tb DESC) AS r
+ FROM upd u JOIN items i ON u.item_id = i.item_id AND u.family = i.family AND u.lifecycle = i.lifecycle WHERE anchor_when <= TIMESTAMP '{WHEN}') x WHERE r = 1),
+state AS (SELECT item_id, family, lifecycle, max(CASE WHEN method = 'purchase' THEN value END) AS owed, coalesce(max(CASE WHEN method = 'click' THEN value END), 0) AS paid FROM last GROUP BY 1, 2, 3)
+SELECT item_class, count(*) AS items, round(sum(owed - paid), 2) AS uncovered FROM state s JOIN items i ON s.item_id = i.item_id AND s.family = i.family AND s.lifecycle = i.lifecycle WHERE owed > paid GROUP BY item_class""")
 def reduce_uncovered_value(c: Context) -> DataFrame:
-    """What customers owe beyond their balance, by segment: filter, map and sum over rendered items."""
-    owed = table(c.spark, c.sf_dir, "orders").filter("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
-    rows = table(c.spark, c.sf_dir, "customer").join(owed, F.col("c_custkey") == F.col("o_custkey")).filter("c_acctbal < total")
-    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("customers"), F.round(F.sum("total"), 2).alias("uncovered"))
+    """What rendered items owe (the last purchase) beyond what they paid (the last click), by class: filter, map and sum over items."""
+    item = ["item_id", "family", "lifecycle"]
+    value = lambda m: F.max(F.when(F.col("method") == m, F.col("value")))
+    state = fold.latest_values(c.live(), ("item_id", "family")).groupBy(*item).agg(value("purchase").alias("owed"), F.coalesce(value("click"), F.lit(0)).alias("paid"))
+    rows = state.filter("owed > paid").join(types.bounds(c.typed, c.closure), item)
+    return rows.groupBy(F.col("lower_class").alias("item_class")).agg(F.count("*").alias("items"), F.round(F.sum(F.col("owed") - F.col("paid")), 2).alias("uncovered"))
 
 
 # Forks
@@ -409,17 +474,9 @@ def ghost_references(c: Context) -> DataFrame:
     return _references(c).filter("is_ghost").drop("is_ghost")
 
 
-@query(f"""WITH RECURSIVE {LOG_SQL}, {_in_force_sql()}, edges AS (SELECT DISTINCT item_id AS src, ref_id AS dst FROM eff WHERE ref_id IS NOT NULL AND kind = 'change' AND item_id % 8 < 5 AND event_key % 3 = 1),
-reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach""")
-def transitive_closure(c: Context) -> DataFrame:
-    """The closure of the part of the references that the SQL names, not of all: see `reference_closure`."""
-    edges = c.in_force.filter("ref_id is not null and kind = 'change' and item_id % 8 < 5 and event_id % 3 = 1").select(F.col("item_id").alias("src"), F.col("ref_id").alias("dst"))
-    return references.transitive_closure(edges)
-
-
 @query(f"""WITH RECURSIVE {LOG_SQL}, {_in_force_sql()}, edges AS (SELECT DISTINCT item_id AS src, ref_id AS dst FROM eff WHERE ref_id IS NOT NULL AND kind <> 'annihilation'),
 reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach""")
-def reference_closure(c: Context) -> DataFrame:
+def transitive_closure(c: Context) -> DataFrame:
     """Which items each item reaches through all references in force."""
     edges = c.in_force.filter("ref_id is not null and kind <> 'annihilation'").select(F.col("item_id").alias("src"), F.col("ref_id").alias("dst"))
     return references.transitive_closure(edges)
@@ -447,9 +504,10 @@ def violations_ambiguous(c: Context) -> DataFrame:
     return types.ambiguous(c.typed, c.closure)
 
 
-@query(f"{TYPED} SELECT item_id, family, lifecycle, substr(lo, 5) AS lower_class, substr(hi, 5) AS upper_class FROM bound WHERE substr(lo, 5) = 'Entity'")
+@query(f"{TYPED} SELECT item_id, family, lifecycle, substr(lo, 5) AS lower_class, substr(hi, 5) AS upper_class FROM bound WHERE substr(lo, 5) IN ('Entity', 'Package')")
 def violations_abstract(c: Context) -> DataFrame:
-    return types.abstract_only(c.typed, c.closure, ["Entity"])
+    """Lifecycles that could not be made if Entity and Package were abstract."""
+    return types.abstract_only(c.typed, c.closure, ["Entity", "Package"])
 
 
 @query(f"""{FOLDED}, sums AS (SELECT item_id, lifecycle, method, run, sum(value) OVER (PARTITION BY item_id, lifecycle, method ORDER BY anchor_when, anchor_rev, anchor_tb ROWS UNBOUNDED PRECEDING) AS total FROM upd)
@@ -504,7 +562,11 @@ def custom_reducer_fold(c: Context) -> DataFrame:
     return fold.custom(fold.alive(c.updates, c.in_force, WHEN), reduce, "item_id bigint, lifecycle bigint, steps bigint, total double, top double")
 
 
-@query()
+@query(f"""{STATE.replace("WITH ", "WITH RECURSIVE ", 1)}, links AS (SELECT DISTINCT item_id AS a, ref_id AS b FROM eff WHERE ref_id IS NOT NULL AND kind <> 'annihilation'),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), meets AS (SELECT a, b FROM both_ways UNION SELECT m.a, w.b FROM meets m JOIN both_ways w ON m.b = w.a),
+label AS (SELECT a AS item_id, least(a, min(b)) AS component FROM meets GROUP BY a), own AS (SELECT item_id, sum(value) AS own FROM live GROUP BY item_id),
+parts AS (SELECT coalesce(component, o.item_id) AS component, o.item_id, own FROM own o LEFT JOIN label l ON o.item_id = l.item_id)
+SELECT component, item_id, round(own / nullif(sum(own) OVER (PARTITION BY component), 0), 6) AS share FROM parts""")
 def component_fold(c: Context) -> DataFrame:
     """Each item's share of the values of its component: of all items that references in force connect it with."""
     edges = c.in_force.filter("ref_id is not null and kind <> 'annihilation'").select(F.col("item_id").alias("a"), F.col("ref_id").alias("b"))

@@ -35,10 +35,10 @@ def test_transitive_closure_of_chains_cycles_and_hubs(spark):
     assert len(got) == len(set(got)) and set(got) == reached(edges)
 
 
-def test_reference_closure_is_of_all_references_in_force(spark):
+def test_closure_query_is_of_all_references_in_force(spark):
     rows = catalogue.Context(spark, SF).in_force.filter("ref_id is not null and kind <> 'annihilation'").select("item_id", "ref_id").collect()
     want = reached({tuple(r) for r in rows})
-    got = [tuple(r) for r in catalogue.QUERIES["reference_closure"](spark, SF).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["transitive_closure"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
