@@ -121,6 +121,8 @@ class StoredSnapshots:
         """The store after one more revision: it records `snapshots`(item_id, item_class, key, state) for `keys`(key), and retracts
         what a key had. Keys are written last, so a recording that fails half-way shows nothing."""
         lineage, r = self.path[-1][0], self.revision + 1
+        if (self._table("times", self.TIMES).filter(F.col("lineage") == lineage).agg(F.max("store_revision")).first()[0] or 0) >= r:
+            raise ValueError(f"revision {r} of {lineage} is recorded; an older store can only be forked")
         mine = [F.lit(r).alias("store_revision"), F.lit(lineage).alias("lineage")]
         snapshots.select("item_id", "item_class", F.col("key").cast("bigint"), "state", *mine).write.mode("append").partitionBy("lineage").parquet(f"{self.folder}/snapshot")
         keys.select(F.col("key").cast("bigint"), *mine).distinct().write.mode("append").partitionBy("lineage").parquet(f"{self.folder}/times")

@@ -10,7 +10,10 @@ from datetime import datetime
 
 def encoded(key) -> str:
     """Ids as strings; others than strings carry their type, so that 5 and "5" differ."""
-    return key if isinstance(key, str) else f"{type(key).__name__}:{key}"
+    text = key if isinstance(key, str) else f"{type(key).__name__}:{key}"
+    if "\x01" in text:
+        raise ValueError("an id cannot hold the character U+0001")
+    return text
 
 
 def _moment(when) -> tuple[int, datetime | None]:

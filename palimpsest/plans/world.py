@@ -35,6 +35,17 @@ def _literal(when):
     return when if when is None or isinstance(when, str) else when.isoformat(sep=" ")
 
 
+def _links(rows: DataFrame) -> DataFrame:
+    """(src, dst): which items rows refer to as arguments of their targets."""
+    args = rows.select(F.col("item_id").alias("src"), F.explode("args").alias("_a")).filter("_a.ref is not null")
+    return args.select("src", F.col("_a.ref.item_id").alias("dst")).distinct()
+
+
+def _referring(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """ids (item_id) and the items that refer to them."""
+    return ids.union(links.join(ids.withColumnRenamed("item_id", "dst"), "dst", "left_semi").select("src")).distinct()
+
+
 class Histories:
     """The folded form of a set of versions in force: typed rows, lifecycles, updates, states."""
 
@@ -132,6 +143,7 @@ class Histories:
             self.lost.select(F.lit("annihilation of nothing").alias("reason"), "item_id", F.col("event_id").alias("detail")),
             violations.annihilations_of_nothing(self.numbered, _ITEM).select(F.lit("annihilation of nothing").alias("reason"), item, F.col("event_id").alias("detail")),
             types.inconsistent(self.numbered, self.closure, _ITEM).select(F.lit("inconsistent types").alias("reason"), item, F.col("item_class").alias("detail")),
+            types.ambiguous(self.numbered, self.closure, _ITEM).select(F.lit("ambiguous types").alias("reason"), item, F.col("item_class").alias("detail")),
             types.abstract_only(self.numbered, self.closure, self.registry.abstract(), _ITEM).select(F.lit("abstract type").alias("reason"), item, F.col("lower_class").alias("detail")),
             self.future_references(),
         ]
@@ -193,6 +205,14 @@ class Scope:
     def items(self) -> DataFrame:
         return self.histories().states(_literal(self.when))
 
+    def about(self, item_id: str) -> DataFrame:
+        """items() of one id. Only what can matter for it is folded: its own events, those of items that refer to it, for they may change
+        it, and those of items that refer to these, for they may decide their types."""
+        world, rows = self.world, self.world.in_force(self.next_revision)
+        links, ids = _links(rows), world.spark.createDataFrame([(item_id,)], "item_id string")
+        near = references._cut(world.spark, rows.join(_referring(_referring(ids, links), links), "item_id", "left_semi"))
+        return Histories(world.spark, world.registry, near).states(_literal(self.when)).filter(F.col("item_id") == item_id)
+
     def render(self, query: Query) -> DataFrame:
         return query.compile(self.items(), types.type_closure(self.world.spark, self.world.registry.parents()))
 
@@ -201,7 +221,10 @@ class Scope:
 
     def table(self, item_class: str, item_id=None) -> DataFrame:
         """Items of a type with a column for each of its attributes, unwritten ones at the type's default."""
-        rows = self.render(Items(item_class, None if item_id is None else encoded(item_id)))
+        if item_id is None:
+            rows = self.render(Items(item_class))
+        else:
+            rows = Items(item_class).compile(self.about(encoded(item_id)), types.type_closure(self.world.spark, self.world.registry.parents()))
         defaults = self.world.registry.defaults(item_class)
         columns = []
         for a, op in self.world.registry.attributes(item_class).items():
@@ -211,6 +234,13 @@ class Scope:
                 columns.append(F.coalesce(F.col("state")[a], F.lit(defaults.get(a))).cast(op.sql_type).alias(a))
         return rows.select("item_id", "item_class", "lifecycle", *columns)
 
+    def is_empty(self, query: Query) -> bool:
+        return self.render(query).isEmpty()
+
+    def head(self, query: Query):
+        """One rendered row, None if there is none."""
+        return self.render(query).first()
+
     def iterate(self, query: Query):
         """Rendered rows one by one, without gathering them."""
         return self.render(query).toLocalIterator()
@@ -227,7 +257,7 @@ class World:
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.catalog.clearCache()
+        """Nothing to release: what a booking persists, it lets go itself."""
 
     @property
     def common(self) -> int:
@@ -281,7 +311,7 @@ class World:
         return self._book(self.spark.createDataFrame(self._rows(events, revision), EVENT_LOG), as_of, checked)
 
     def revise_rows(self, rows: DataFrame, as_of, checked: bool = True, tag: str | None = None) -> int:
-        """Books a table with the columns of EVENT_LOG from tb on (and event_id) as one revision, of any size; nothing is collected.
+        """Books a table with the columns of EVENT_LOG from tb on (and event_id) as one revision, of any size (which a MemoryStore collects).
 
         tb is the place of an event in the booking. A tag that is booked already is not booked again: its revision is returned.
         """
@@ -309,6 +339,10 @@ class World:
         self.store.append(self.name, revision, as_of, rows, tag)
         return revision
 
+    def book(self, event_id, event: Event | None, as_of) -> int:
+        """revise() with a single event."""
+        return self.revise({event_id: event}, as_of)
+
     def annul(self, event_id, as_of) -> int:
         return self.revise({event_id: None}, as_of)
 

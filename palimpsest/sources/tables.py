@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +30,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="palimpsest-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
 
 
 class ParquetStore:
-    """An append-only store under one folder, on any file system that Spark can write.
+    """An append-only store under one folder, on a file system whose renames are atomic and refuse a name that is taken (HDFS; a local one
+    for a single writer). Object stores have no such rename.
 
-    A revision's rows are written to a folder of their own; the revision exists once its commit file is created, which
-    the file system does for one writer only. Readers see the folders of committed revisions, so a reader never sees half a booking.
+    A revision's rows are written to a folder of their own; the revision exists once its commit file, written whole under another name, is
+    renamed, which the file system does for one writer only. Commit files never change, so each is read once. Readers see the folders of committed revisions, so a reader never sees half a booking.
     log/ is partitioned by world and by revision, which prunes the cut by revision to whole folders.
     """
 
@@ -48,6 +52,7 @@ class ParquetStore:
         self.root = self.jvm.org.apache.hadoop.fs.Path(self.path)
         self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self._p("commits"))
+        self.read: dict[str, dict] = {}
 
     def _p(self, *parts: str):
         return self.jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
@@ -59,9 +64,12 @@ class ParquetStore:
             return []
         out = []
         for status in self.fs.listStatus(here):
-            stream = self.fs.open(status.getPath())
-            out.append(json.loads(bytes(stream.readAllBytes()).decode()))
-            stream.close()
+            name = f"{world}/{status.getPath().getName()}"
+            if name not in self.read:
+                stream = self.fs.open(status.getPath())
+                self.read[name] = json.loads(bytes(stream.readAllBytes()).decode())
+                stream.close()
+            out.append(self.read[name])
         return sorted(out, key=lambda c: c["revision"])
 
     def append(self, world: str, revision: int, as_of: str, rows: DataFrame, tag: str | None = None) -> None:
@@ -69,13 +77,25 @@ class ParquetStore:
         folder = f"log/{world}/{revision:010d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
         text = json.dumps({"revision": revision, "as_of": as_of, "folder": folder, "tag": tag}).encode()
-        try:
-            out = self.fs.create(self._p("commits", world, f"{revision:010d}.json"), False)
-        except Exception as taken:
-            self.fs.delete(self._p(folder), True)
-            raise ConcurrentRevision(f"revision {revision} of {world} exists") from taken
+        pending, commit = self._p("pending", uuid.uuid4().hex), self._p("commits", world, f"{revision:010d}.json")
+        out = self.fs.create(pending, False)
         out.write(bytearray(text))
         out.close()
+        self.fs.mkdirs(commit.getParent())
+        try:
+            self._rename(pending, commit)
+        except Py4JJavaError as failed:
+            self.fs.delete(pending, False)
+            if "AlreadyExists" not in failed.java_exception.getClass().getName():
+                raise
+            self.fs.delete(self._p(folder), True)
+            raise ConcurrentRevision(f"revision {revision} of {world} exists") from failed
+
+    def _rename(self, a, b) -> None:
+        """Unlike FileSystem.rename, FileContext's fails where b exists, on every file system."""
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        context.rename(a, b, options)
 
     def log(self, world: str, before: int | None = None) -> DataFrame:
         folders = [f"{self.path}/{c['folder']}" for c in self.commits(world) if before is None or c["revision"] < before]
