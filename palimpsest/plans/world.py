@@ -143,7 +143,6 @@ class Histories:
             self.lost.select(F.lit("annihilation of nothing").alias("reason"), "item_id", F.col("event_id").alias("detail")),
             violations.annihilations_of_nothing(self.numbered, _ITEM).select(F.lit("annihilation of nothing").alias("reason"), item, F.col("event_id").alias("detail")),
             types.inconsistent(self.numbered, self.closure, _ITEM).select(F.lit("inconsistent types").alias("reason"), item, F.col("item_class").alias("detail")),
-            types.ambiguous(self.numbered, self.closure, _ITEM).select(F.lit("ambiguous types").alias("reason"), item, F.col("item_class").alias("detail")),
             types.abstract_only(self.numbered, self.closure, self.registry.abstract(), _ITEM).select(F.lit("abstract type").alias("reason"), item, F.col("lower_class").alias("detail")),
             self.future_references(),
         ]
