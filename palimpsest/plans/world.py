@@ -46,6 +46,21 @@ def _referring(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.union(links.join(ids.withColumnRenamed("item_id", "dst"), "dst", "left_semi").select("src")).distinct()
 
 
+def reach(in_force: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id), (item_id): the items whose history may have changed where events touch items, and all whose rows decide that history.
+
+    A touched item changes itself, those that it refers to (its type decides what its calls do to them), and those that refer to it (its
+    annihilations decide which lifecycle they mean). These are folded from their own events, those of items that refer to them, for they may
+    change them, those of items that refer to these, for they may decide their types, and those of items that they refer to, for their ends.
+    Touched ids come from one revision; all others are found by semi-joins.
+    """
+    links = _links(in_force)
+    forward = lambda ids: ids.union(links.join(ids.withColumnRenamed("item_id", "src"), "src", "left_semi").select("dst")).distinct()
+    spark = in_force.sparkSession
+    affected = references._cut(spark, forward(touched).union(_referring(touched, links)).distinct())
+    return affected, references._cut(spark, forward(affected).union(_referring(_referring(affected, links), links)).distinct())
+
+
 class Histories:
     """The folded form of a set of versions in force: typed rows, lifecycles, updates, states."""
 
@@ -304,7 +319,8 @@ class World:
     def revise(self, events: Mapping[object, Event | None], as_of, checked: bool = True) -> int:
         """Books all of `events` (event id to event, None annuls) as one revision, or nothing; returns its number.
 
-        The whole history with the bookings is folded and every contradiction in it is a reason to refuse.
+        Of the history with the bookings, the items that these can affect (see `reach`) are folded, and every contradiction in what they go through
+        is a reason to refuse. The rest is as it was before, when it was checked; what was booked unchecked stays unchecked until it is affected.
         """
         revision = self.next_revision
         return self._book(self.spark.createDataFrame(self._rows(events, revision), EVENT_LOG), as_of, checked)
@@ -327,17 +343,29 @@ class World:
             raise ValueError(f"as-of {as_of} is before the last revision's {known[-1]}")
         revision = len(known)
         if checked:
-            proposed = timeline.proposed(self.versions(revision), rows, None).filter("item_id is not null")
-            held = Histories(self.spark, self.registry, proposed, held=True)
-            try:
-                reasons = held.violations().limit(10).collect()
-            finally:
-                held.release()
+            reasons = self.contradictions(rows, revision).limit(10).collect()
             if reasons:
                 raise RejectedRevision("; ".join(f"{r['reason']}: {r['item_id']} ({r['detail']})" for r in reasons))
         self.store.append(self.name, revision, as_of, rows, tag)
         return revision
 
+    def contradictions(self, rows: DataFrame, revision: int) -> DataFrame:
+        """(reason, item_id, detail) of what forbids booking `rows` as `revision`, among the items that they can affect; a table with no lineage."""
+        versions = self.versions(revision)
+        proposed = timeline.proposed(versions, rows, None).filter("item_id is not null").persist()
+        try:
+            replaced = versions.join(rows.select("event_id").distinct(), "event_id", "left_semi").unionByName(rows.select(*versions.columns))
+            touched = replaced.select("item_id").union(replaced.select(F.explode("args.ref.item_id"))).filter("item_id is not null").distinct()
+            affected, needed = reach(proposed, touched)
+            near = references._cut(self.spark, proposed.join(needed, "item_id", "left_semi"))
+        finally:
+            proposed.unpersist()
+        held = Histories(self.spark, self.registry, near, held=True)
+        try:
+            return references._cut(self.spark, held.violations().join(affected, "item_id", "left_semi").select("reason", "item_id", "detail"))
+        finally:
+            held.release()
+
     def book(self, event_id, event: Event | None, as_of) -> int:
         """revise() with a single event."""
         return self.revise({event_id: event}, as_of)
