@@ -94,12 +94,14 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 found[start] = max(found.get(start, 0.0), weight)
-        if spared:
-            at = 0
+        if spared:  # one may lie in another, so the furthest end of those begun so far counts
+            spared.sort()
+            at, reach = 0, 0
             for start in sorted(found):
-                while at < len(spared) and spared[at][1] <= start:
+                while at < len(spared) and spared[at][0] <= start:
+                    reach = max(reach, spared[at][1])
                     at += 1
-                if at < len(spared) and spared[at][0] <= start:
+                if start < reach:
                     found[start] = 0.0
         return sum(found.values())
 
