@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.keys import at_or_before
+
 
 def closure_rows(parents: dict[str, str | None]) -> list[tuple[str, str, int, int]]:
     """(sub, super, distance, depth of super) of a type hierarchy, each type being its own subtype."""
@@ -17,8 +21,10 @@ def closure_rows(parents: dict[str, str | None]) -> list[tuple[str, str, int, in
 
 
 def type_closure(spark: SparkSession, parents: dict[str, str | None]) -> DataFrame:
-    """As a table; its size is that of the declared types, so joins with it are broadcast."""
-    return spark.createDataFrame(closure_rows(parents), "sub string, super string, distance int, depth int")
+    """As a table; its size is that of the declared types, so joins with it are broadcast and its rows are read without a job."""
+    kinds = pa.schema([("sub", pa.string()), ("super", pa.string()), ("distance", pa.int32()), ("depth", pa.int32())])
+    rows = [dict(zip(kinds.names, r, strict=True)) for r in closure_rows(parents)]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=kinds))
 
 
 def of_type(items: DataFrame, closure: DataFrame, wanted: str, column: str = "item_class") -> DataFrame:
@@ -27,35 +33,60 @@ def of_type(items: DataFrame, closure: DataFrame, wanted: str, column: str = "it
     return items.join(F.broadcast(subs), column, "left_semi").select(*items.columns)
 
 
-def families(in_force: DataFrame, closure: DataFrame) -> DataFrame:
-    """(item_id, item_class, family): the topmost class above item_class that events of the id use.
+def _supers(closure: DataFrame) -> Column:
+    """A map from each declared class to its superclasses and itself, the topmost first."""
+    rows = sorted(closure.collect(), key=lambda r: r["depth"])
+    pairs = [(F.lit(c), F.array(*[F.lit(r["super"]) for r in rows if r["sub"] == c])) for c in sorted({r["sub"] for r in rows})]
+    return F.create_map(*[x for pair in pairs for x in pair]).cast("map<string,array<string>>")
+
+
+def _ranks(closure: DataFrame, column: str = "item_class") -> tuple[Column, Column]:
+    """A declared class's place in the order of depth, then name (null of any other), and the classes in that order.
 
-    Classes on one branch share a family and so an item; types on different branches that share an id are different items.
+    A number is folded by a hash aggregate, a name would be sorted.
     """
-    used = in_force.filter("kind <> 'annihilation'").select("item_id", "item_class").distinct()
-    up = used.join(F.broadcast(closure), F.col("item_class") == F.col("sub"))
-    tops = used.select(F.col("item_id").alias("_i"), F.col("item_class").alias("_c"))
-    both = up.join(tops, (F.col("item_id") == F.col("_i")) & (F.col("super") == F.col("_c")))
-    return both.groupBy("item_id", "item_class").agg(F.min_by("super", "depth").alias("family"))
+    names = [r["sub"] for r in sorted(closure.collect(), key=lambda r: (r["depth"], r["sub"])) if r["distance"] == 0]
+    places = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)]).cast("map<string,int>")
+    return places[F.col(column)], F.array(*[F.lit(c) for c in names]).cast("array<string>")
 
 
 def with_family(in_force: DataFrame, closure: DataFrame) -> DataFrame:
-    """Rows with `family`; an annihilation is repeated for each family of the id that its class is compatible with."""
-    known = families(in_force, closure)
-    body = in_force.filter("kind <> 'annihilation'").join(known, ["item_id", "item_class"])
-    ends = in_force.filter("kind = 'annihilation'")
-    kin = closure.select(F.col("sub").alias("x"), F.col("super").alias("y")).union(closure.select("super", "sub")).distinct()
-    some = known.select(F.col("item_id").alias("_i"), "family").distinct()
-    ends = ends.join(F.broadcast(kin), F.col("item_class") == F.col("x")).join(some, (F.col("item_id") == F.col("_i")) & (F.col("y") == F.col("family"))).drop("x", "y", "_i")
-    return body.select(*in_force.columns, "family").union(ends.select(*in_force.columns, "family"))
+    """Rows with `family`: the topmost class above item_class that events of the id use.
+
+    Classes on one branch share a family and so an item; types on different branches that share an id are different items. An
+    annihilation is repeated for each family of the id that its class is compatible with; rows without a family go.
+    The rows meet by item_id alone, which windows and groups by (item_id, family) then find done.
+    """
+    supers, end = _supers(closure), F.col("kind") == "annihilation"
+    top = lambda c: F.get(F.filter(supers[c], lambda up: F.array_contains("_used", up)), 0)
+    akin = lambda f: F.array_contains(supers[F.col("item_class")], f) | F.array_contains(supers[f], F.col("item_class"))
+    used = F.collect_set(F.when(~end, F.col("item_class"))).over(W.partitionBy("item_id"))
+    all_tops = F.filter(F.array_distinct(F.transform("_used", top)), akin)
+    mine = F.when(end, all_tops).otherwise(F.array(top(F.col("item_class"))))
+    rows = in_force.withColumn("_used", used).withColumn("family", F.explode(mine))
+    return rows.filter("family is not null").select(*in_force.columns, "family")
 
 
 def bounds(numbered: DataFrame, closure: DataFrame, item: tuple[str, ...] = ("item_id", "family")) -> DataFrame:
     """(item, lifecycle, lower_class, upper_class): the most and the least derived class that a lifecycle uses."""
-    depth = closure.filter("distance = 0").select(F.col("sub").alias("item_class"), "depth")
-    rows = numbered.join(F.broadcast(depth), "item_class")
-    by = F.struct("depth", "item_class")
-    return rows.groupBy(*item, "lifecycle").agg(F.max(by)["item_class"].alias("lower_class"), F.min(by)["item_class"].alias("upper_class"))
+    rank, names = _ranks(closure)
+    rows = numbered.withColumn("_rank", rank).filter("_rank is not null")
+    out = rows.groupBy(*item, "lifecycle").agg(F.max("_rank").alias("_lower"), F.min("_rank").alias("_upper"))
+    return out.select(*item, "lifecycle", F.get(names, "_lower").alias("lower_class"), F.get(names, "_upper").alias("upper_class"))
+
+
+def alive_items(numbered: DataFrame, closure: DataFrame, when, item: tuple[str, ...] = ("item_id", "family"), inclusive: bool = True) -> DataFrame:
+    """(item, lifecycle, item_class) of the items alive at `when`, each with its lifecycle's most derived class, in one aggregation.
+
+    A lifecycle is alive when one of its events has come and its annihilation, which is numbered with it, has not: the first event of
+    every run is its anchor, so the earliest event brings the first update.
+    """
+    rank, names = _ranks(closure)
+    here = at_or_before(F.col("when_rank"), F.col("when_ts"), when, inclusive)
+    end = F.col("kind") == "annihilation"
+    seen = [F.max("_rank").alias("_lower"), F.max(F.when(here & ~end, 1)).alias("_begun"), F.max(F.when(here & end, 1)).alias("_gone")]
+    out = numbered.withColumn("_rank", rank).groupBy(*item, "lifecycle").agg(*seen).filter("_begun = 1 and _gone is null and _lower is not null")
+    return out.select(*item, "lifecycle", F.get(names, "_lower").alias("item_class"))
 
 
 def inconsistent(numbered: DataFrame, closure: DataFrame, item: tuple[str, ...] = ("item_id", "family")) -> DataFrame:

@@ -52,14 +52,9 @@ class Context:
     def typed(self) -> DataFrame:
         return lifecycles.lifecycles(types.with_family(self.in_force, self.closure), ("item_id", "family"))
 
-    def live(self, when=WHEN) -> DataFrame:
-        """Updates up to `when` of the typed items that are alive then."""
-        return fold.alive(measurements.updates(self.typed, item=("item_id", "family")), self.typed, when, ("item_id", "family"))
-
     def items(self, when=WHEN) -> DataFrame:
         """(item_id, family, lifecycle, item_class): items alive at `when`, each with its lifecycle's most derived class."""
-        item = ("item_id", "family")
-        return self.live(when).select(*item, "lifecycle").distinct().join(types.bounds(self.typed, self.closure), [*item, "lifecycle"]).select(*item, "lifecycle", F.col("lower_class").alias("item_class"))
+        return types.alive_items(self.typed, self.closure, when)
 
 
 R_SQL = "(SELECT CAST(floor(max(event_id)/10*0.7) AS INT) FROM events)"
@@ -403,9 +398,10 @@ def reduce_uncovered_value(c: Context) -> DataFrame:
     """What rendered items owe (the last purchase) beyond what they paid (the last click), by class: filter, map and sum over items."""
     item = ["item_id", "family", "lifecycle"]
     value = lambda m: F.max(F.when(F.col("method") == m, F.col("value")))
-    state = fold.latest_values(c.live(), ("item_id", "family")).groupBy(*item).agg(value("purchase").alias("owed"), F.coalesce(value("click"), F.lit(0)).alias("paid"))
-    rows = state.filter("owed > paid").join(types.bounds(c.typed, c.closure), item)
-    return rows.groupBy(F.col("lower_class").alias("item_class")).agg(F.count("*").alias("items"), F.round(F.sum(F.col("owed") - F.col("paid")), 2).alias("uncovered"))
+    updates = fold.cut(measurements.updates(c.typed, item=("item_id", "family")), WHEN)
+    state = fold.latest_values(updates, ("item_id", "family")).groupBy(*item).agg(value("purchase").alias("owed"), F.coalesce(value("click"), F.lit(0)).alias("paid"))
+    rows = state.filter("owed > paid").join(c.items(), item)
+    return rows.groupBy("item_class").agg(F.count("*").alias("items"), F.round(F.sum(F.col("owed") - F.col("paid")), 2).alias("uncovered"))
 
 
 # Forks
