@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,20 +52,54 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     return reach.select("src", "dst")
 
 
+def local_forest(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a task as stars (node, smallest node it reaches here), `most` nodes at a time."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def stars(kind: pa.DataType) -> pa.RecordBatch:
+        pairs = [(x, r) for x in parent if (r := root(x)) != x]
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > most:
+            yield stars(kind)
+            parent.clear()
+    if parent:
+        yield stars(kind)
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(item_id, component): the smallest id that edges (a, b) connect each node with; ids may be of any type that has an order."""
+    """(item_id, component): the smallest id that edges (a, b) connect each node with; ids may be of any type that has an order.
+
+    Each task first turns its own edges into stars, so what is shuffled is at most a row for each node and task. Then rounds of the neighbours'
+    smallest label and of the label's own label, until none changes.
+    """
     spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _cut(spark, both)
+    edges = edges.select("a", F.col("b").cast(edges.schema["a"].dataType).alias("b"))
+    lone = edges.filter("a = b").select("a").distinct()
+    stars = edges.filter("a <> b").mapInArrow(local_forest, edges.schema)
+    both = _cut(spark, stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = _cut(spark, both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")))
     while True:
-        before = labels
         near = attached(both, labels.withColumnRenamed("a", "b"), "b", "a").groupBy("a").agg(F.min("component").alias("c"))
-        labels = labels.join(near, "a").select("a", F.least("component", "c").alias("component"))
-        jump = labels.select(F.col("a").alias("component"), F.col("component").alias("c"))
-        labels = _cut(spark, attached(labels, jump, "component", "a").select("a", F.least("component", "c").alias("component")))
-        if labels.exceptAll(before.select(*labels.columns)).isEmpty():
-            return labels.withColumnRenamed("a", "item_id")
+        nearer = _cut(spark, labels.join(near, "a").select("a", F.col("component").alias("old"), F.least("component", "c").alias("component")))
+        jump = nearer.select(F.col("a").alias("component"), F.col("component").alias("c"))
+        jumped = _cut(spark, attached(nearer, jump, "component", "a").select("a", "old", F.least("component", "c").alias("component")))
+        labels = jumped.select("a", "component")
+        if jumped.filter("component <> old").isEmpty():
+            alone = lone.join(labels, "a", "left_anti").select("a", F.col("a").alias("component"))
+            return labels.union(alone).withColumnRenamed("a", "item_id")
 
 
 def attached(rows: DataFrame, side: DataFrame, key: str, by: str, parts: int = 64) -> DataFrame:
