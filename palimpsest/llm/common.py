@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ..operators.references import local_forest
+
 #: A key is hot when it holds at least one HOT-th of all rows: there are at most HOT such keys.
 HOT = 1000
 
@@ -126,31 +128,6 @@ def ranked(docs: DataFrame, nulls_first: bool) -> DataFrame:
     return prefix_sums(rows, "all", ["id", "tie", "at"], "one").select(F.col("start").alias("row"), "data")
 
 
-def _forest(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The edges (a, b) of a task as stars (node, smallest node it reaches here), `most` nodes at a time."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    def stars() -> pa.RecordBatch:
-        pairs = [(x, r) for x in parent if (r := root(x)) != x]
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            parent[max(a, b)] = min(a, b)
-        if len(parent) > most:
-            yield stars()
-            parent.clear()
-    if parent:
-        yield stars()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of edges (a, b), the smallest node that its links reach.
 
@@ -173,7 +150,7 @@ def components(edges: DataFrame) -> DataFrame:
         return written(new.filter("a <> b").distinct())
 
     e = edges.filter("a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
-    e = written(e.mapInArrow(_forest, "a bigint, b bigint").distinct())
+    e = written(e.mapInArrow(local_forest, "a bigint, b bigint").distinct())
     if e.isEmpty():
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
