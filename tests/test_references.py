@@ -4,6 +4,7 @@ import collections
 import random
 
 import pandas as pd
+import pyarrow as pa
 
 from palimpsest.operators import fold, references
 from palimpsest.plans import catalogue
@@ -35,6 +36,36 @@ def test_transitive_closure_of_chains_cycles_and_hubs(spark):
     assert len(got) == len(set(got)) and set(got) == reached(edges)
 
 
+def test_closures_stored_nowhere_by_component_and_by_doubling_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, 200), (104, 210), (None, 105), (106, None), (None, None), (220, None), (None, 221)]
+    edges += [(1000 * k + rng.randrange(12), 1000 * k + rng.randrange(12)) for k in range(1, 9) for _ in range(14)]
+    frame = spark.createDataFrame(edges, "src bigint, dst int")
+    # A null equals no other, so none goes on from one.
+    want = {(None if a == "from" else a, None if b == "to" else b) for a, b in reached([("from" if a is None else a, "to" if b is None else b) for a, b in edges])}
+    stored = []
+    monkeypatch.setattr(references, "_cut", lambda spark, df, cut=references._cut: stored.append(out := cut(spark, df)) or out)
+    for most in ((), (70,), (20,)):
+        stored.clear()
+        closure = references.transitive_closure(frame, *most)
+        got = [tuple(r) for r in closure.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and closure.schema["dst"].dataType.simpleString() == "int"
+        assert most == (20,) or max(df.count() for df in stored) <= len(edges) * 2 < len(want)
+
+
+def test_closed_in_strips_and_narrow_sets(monkeypatch):
+    for seed in range(60):
+        rng = random.Random(seed)
+        monkeypatch.setattr(references, "BLOCK", rng.choice([64, 128, 1024]))
+        monkeypatch.setattr(references, "HELD", rng.choice([100, 1 << 26]))
+        monkeypatch.setattr(references, "BATCH", rng.choice([64, 4096]))
+        n = rng.choice([3, 8, 40, 300])
+        edges = list({(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n))}) + [(n + i, n + i + 1) for i in range(2000 if seed == 1 else 0)]
+        graph = references.packed(pa.table({"src": pa.array([a for a, _ in edges], pa.int64()), "dst": pa.array([b for _, b in edges], pa.int64()), "mine": [True] * len(edges)}))
+        got = [x for batch in references.closed(range(40), *graph) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == reached(edges)
+
+
 def test_closure_query_is_of_all_references_in_force(spark):
     rows = catalogue.Context(spark, SF).in_force.filter("ref_id is not null and kind <> 'annihilation'").select("item_id", "ref_id").collect()
     want = reached({tuple(r) for r in rows})
